@@ -135,9 +135,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> tuple[bytes, int]:
         for batch in batches:
             texts += [enc(t) for t in batch.column("text").to_pylist()]
         try:
-            if sum(map(len, texts)) < 8 * DICT_BYTES:
+            size = min(DICT_BYTES, sum(map(len, texts)) // 8)
+            if size < 1024:
                 raise zstandard.ZstdError("too little to train on")
-            data = zstandard.train_dictionary(DICT_BYTES, [t for t in texts if t]).as_bytes()
+            data = zstandard.train_dictionary(size, [t for t in texts if t]).as_bytes()
         except zstandard.ZstdError:
             data = b""
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([enc.width], pa.int32())], names=["data", "width"])
