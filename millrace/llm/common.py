@@ -109,3 +109,22 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 def distinct_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_copies"))
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int = 24) -> np.ndarray:
+    """A bit for the low `bits` bits of each hash, as 64-bit words.
+
+    Its size is fixed by `bits` alone, so it may go to every task whatever the number of hashes. It
+    only rules rows out; whoever uses it joins on the whole hash afterwards.
+    """
+    slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    words = hashes.select(F.shiftrightunsigned(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64(len(bits) * 64 - 1)
+    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0

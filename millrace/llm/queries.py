@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import common, quality_rules, sentencepiece_bpe, token_counts, token_files
+from millrace.llm import common, decontamination, quality_rules, sentencepiece_bpe, token_counts, token_files
 
 END_ID = 2
 
@@ -20,6 +20,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksum(token_files.read(spark, path))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("text_hash")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -35,11 +40,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_token_files": op2_token_files,
+        "op3_decontamination": op3_decontamination,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_token_counts": op9_token_counts,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
+#: Runs of word characters after lower-casing A-Z, as the contract of decontamination has them.
+WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({WORDS_SQL}, []) AS w FROM documents),
+b AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+wins AS (SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(w[i:i + 12], ' ') AS win
+  FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM wins),
+hits AS (SELECT d.r, t.i, s.size, array_to_string(d.w[t.i:t.i + s.size - 1], ' ') AS win
+  FROM d, sizes s, unnest(range(1, len(d.w) - s.size + 2)) AS t(i)
+  WHERE len(d.w) >= s.size),
+found AS (SELECT h.r, h.i, h.size, x.item_id FROM hits h JOIN wins x ON h.win = x.win),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM found, unnest(range(i, i + size)) AS t(p) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS items FROM found GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w)) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": OP3_SQL}
