@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import common, decontamination, quality_rules, sentencepiece_bpe, token_counts, token_files
+from millrace.llm import common, decontamination, jaccard_join, quality_rules, sentencepiece_bpe, token_counts, token_files
 
 END_ID = 2
 
@@ -25,6 +25,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -41,6 +45,7 @@ def queries() -> dict:
     return {
         "op2_token_files": op2_token_files,
         "op3_decontamination": op3_decontamination,
+        "op6_jaccard_join": op6_jaccard_join,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_token_counts": op9_token_counts,
         "op10_quality_rules": op10_quality_rules,
