@@ -5,7 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import common, decontamination, jaccard_join, quality_rules, sentencepiece_bpe, token_counts, token_files
+from millrace.llm import (
+    common,
+    decontamination,
+    html_extract,
+    jaccard_join,
+    language_id,
+    quality_lm,
+    quality_rules,
+    sentencepiece_bpe,
+    substring_dedup,
+    token_counts,
+    token_files,
+)
 
 END_ID = 2
 
@@ -14,6 +26,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "tokens")
     token_files.write(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
@@ -25,10 +41,23 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(documents(spark, sf_dir)).drop("row")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_lm.classify(documents(spark, sf_dir), labels.filter("quality = 1").select("doc_id"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -42,14 +71,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {
-        "op2_token_files": op2_token_files,
-        "op3_decontamination": op3_decontamination,
-        "op6_jaccard_join": op6_jaccard_join,
-        "op8_sentencepiece": op8_sentencepiece,
-        "op9_token_counts": op9_token_counts,
-        "op10_quality_rules": op10_quality_rules,
-    }
+    found = (op1_language_id, op2_token_files, op3_decontamination, op4_html_extract, op5_substring_dedup, op6_jaccard_join, op7_quality_lm, op8_sentencepiece, op9_token_counts, op10_quality_rules)
+    return {f.__name__: f for f in found}
 
 
 #: Runs of word characters after lower-casing A-Z, as the contract of decontamination has them.
