@@ -8,8 +8,9 @@ prefixes form a root region. The order puts shingles that are common in the corp
 fixed size marks them; any common order is exact). Regions with one set, or with no index member, hold no
 pair. Inside the others, in rounds:
 
-* Pivots are the least index members, at most one of each component found so far: one in the
-  first round, then four times as many each round. Every member's exact distance to them is computed once, however many
+* The first pivot is the region's least index member. Later rounds take pivots from all components of the region but its
+  largest, smallest components first, four times as many each round: once all of these have been pivots, no
+  pair of two components is left. Every member's exact distance to the pivots is computed once, however many
   regions share the pair, if the pair's sizes allow a link. Pairs within 1 - t are links.
 * Components of all links so far are found. A region of one component is settled.
 * Triangle windows: of two members whose distances to a pivot differ by more than 1 - t, neither links to the
@@ -17,7 +18,7 @@ pair. Inside the others, in rounds:
   members of other components has no partner left in the region and stays behind; the members near the boundary go on into the next,
   smaller region with new pivots, and so do all others. Pivots stay behind as well.
 
-Each round takes at least one index member from every region, so this ends, and no link between
+Each round takes at least one member from every region, so this ends, and no link between
 different components is lost: an unsettled pair stays in one region until one of the two is a pivot.
 A region of M near copies costs about M comparisons, not M * M. Texts with equal sets are one class from
 the start, components are found over stored tables, and nothing but counts and bitmaps of fixed size
@@ -41,8 +42,9 @@ from millrace.llm import common
 SHINGLE = 5
 #: Similarity as a fraction, so that bounds are whole-number arithmetic.
 NUMERATOR, DENOMINATOR = 80, 100
+DISTANCES = "a long, b long, n_a long, n_b long, shared long"
 #: Bits of the bitmap of common shingles, and how often a shingle occurs to count as common.
-COMMON_BITS, COMMON = 26, 24
+COMMON_BITS, COMMON = 24, 24
 
 
 def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
@@ -164,7 +166,7 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             n_a, n_b, n = (pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), ())))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), n_a, n_b, n], names=["a", "b", "n_a", "n_b", "shared"])
 
-    return both.mapInArrow(run, "a long, b long, n_a long, n_b long, shared long")
+    return both.mapInArrow(run, DISTANCES)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -195,47 +197,48 @@ def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataF
     member = rows.select("key", "n", F.explode("prefix").alias("p")).select("p.region", "key", "n", "p.index")
     member = member.groupBy("region", "key").agg(F.first("n").alias("n"), F.max("index").alias("index"))
     region = member.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.max("index").alias("any")).filter("m > 1 and any")
-    regions = common.stored(member.join(region.select("region"), "region", "left_semi"), "regions")
+    shared = member.join(region.select("region"), "region", "left_semi")
+    # length window: a member stays if the next smaller or next larger set of its region may link to it
+    by_size = Window.partitionBy("region").orderBy("n", "key")
+    fits = (F.lag("n").over(by_size) * den >= F.col("n") * num) | (F.col("n") * den >= F.lead("n").over(by_size) * num)
+    regions = common.stored(shared.withColumn("fits", fits).filter("fits").drop("fits"), "regions")
     sets = common.stored(shingle_sets(docs, regions.select("key").distinct(), k), "sets")
-    known = labels = linked = None
-    most = 1
-    least = regions.filter("index").groupBy("region").agg(F.min("key").alias("pivot"))
-    pivots = common.stored(least, "pivots")
+    pivots = common.stored(regions.filter("index").groupBy("region").agg(F.min("key").alias("pivot")), "pivots")
+    distances = common.scratch(docs.sparkSession, "distances")
+    known, turns = None, 1
     while not pivots.isEmpty():
-        asked = regions.join(pivots, "region").filter("key <> pivot")
-        # sizes: a pivot's own row in the region has them
-        sizes = regions.select(F.col("key").alias("pivot"), F.col("n").alias("n_p")).distinct()
-        fit = asked.select(F.col("key"), F.col("n"), F.col("pivot")).distinct().join(sizes, "pivot").filter(F.least("n", "n_p") * den >= F.greatest("n", "n_p") * num)
+        sizes = regions.select(F.col("key").alias("pivot"), F.col("n").alias("n_p")).join(pivots.select("pivot").distinct(), "pivot", "left_semi").distinct()
+        asked = regions.join(pivots, "region").filter("key <> pivot").select("key", "n", "pivot").distinct().join(sizes, "pivot")
+        fit = asked.filter(F.least("n", "n_p") * den >= F.greatest("n", "n_p") * num)
         pairs = fit.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
-        new = common.stored(measured(pairs, sets), "distances")
-        known = new if known is None else known.unionByName(new)
+        measured(pairs, sets).write.parquet(f"{distances}/{turns}")
+        known = docs.sparkSession.read.schema(DISTANCES).parquet(f"{distances}/*")
         union = F.col("n_a") + F.col("n_b") - F.col("shared")
-        linked = known.filter(F.col("shared") * den >= union * num).select("a", "b")
-        labels = components(linked)
+        labels = components(known.filter(F.col("shared") * den >= union * num))
         named = regions.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         mixed = named.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("region")
         open_ = common.stored(named.join(mixed, "region", "left_semi"), "open")
-        near = known.select("a", "b", (F.col("shared") / union).alias("sim"))
-        near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).withColumnsRenamed({"a": "key", "b": "pivot"})
+        near = known.select(F.col("a").alias("key"), F.col("b").alias("pivot"), (F.col("shared") / union).alias("sim"))
+        near = near.unionByName(near.select(F.col("pivot").alias("key"), F.col("key").alias("pivot"), "sim"))
         # an uncompared pair is out of the length window: the ratio of sizes bounds its similarity
         seen = open_.join(pivots, "region").filter("key <> pivot").join(sizes, "pivot").join(near, ["key", "pivot"], "left")
-        seen = seen.withColumn("high", F.coalesce("sim", F.least("n", "n_p") / F.greatest("n", "n_p")))
+        seen = common.stored(seen.select("region", "pivot", "key", "label", "sim", F.coalesce("sim", F.least("n", "n_p") / F.greatest("n", "n_p")).alias("high")), "seen")
         cells = seen.groupBy("region", "pivot", "label").agg(F.max("high").alias("high"))
         top = cells.groupBy("region", "pivot").agg(F.max(F.struct("high", "label")).alias("top"))
         beyond = cells.join(top, ["region", "pivot"]).filter(F.col("label") != F.col("top.label")).groupBy("region", "pivot").agg(F.max("high").alias("second"), F.first("top.label").alias("label"))
         behind = seen.join(beyond, ["region", "pivot", "label"]).filter(F.col("sim") - F.col("second") > 1 - num / den + 1e-9).select("region", "key")
-        gone = behind.union(pivots.select("region", "pivot")).distinct()
-        left = open_.join(gone, ["region", "key"], "left_anti")
+        left = open_.join(behind.union(pivots.select("region", "pivot")).distinct(), ["region", "key"], "left_anti")
         alive = left.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("index").alias("any")).filter("x <> y and any").select("region")
         named = common.stored(left.join(alive, "region", "left_semi"), "regions")
-        most *= 4
-        each = named.filter("index").groupBy("region", "label").agg(F.min("key").alias("pivot"))
-        turn = F.row_number().over(Window.partitionBy("region").orderBy("pivot"))
-        pivots = common.stored(each.withColumn("turn", turn).filter(F.col("turn") <= most).select("region", "pivot"), "pivots")
-        regions = named.drop("label")
-    return linked
+        groups = named.groupBy("region", "label").agg(F.count(F.lit(1)).alias("m"))
+        largest = groups.groupBy("region").agg(F.max(F.struct("m", "label")).alias("largest"))
+        small = named.join(groups, ["region", "label"]).join(largest, "region").filter(F.col("label") != F.col("largest.label"))
+        turn = F.row_number().over(Window.partitionBy("region").orderBy("m", "label", "key"))
+        pivots = common.stored(small.withColumn("turn", turn).filter(F.col("turn") <= 4**turns).select("region", F.col("key").alias("pivot")), "pivots")
+        regions, turns = named.drop("label"), turns + 1
+    return known.filter(F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num).select("a", "b") if known is not None else None
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
