@@ -35,7 +35,7 @@ from millrace.llm import common
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 2000, 16_384, 65_536
 BLOCK_BYTES = 1 << 20
 LEVEL = 3
-KEPT_WORDS = 500_000
+KEPT_WORDS = 450_000
 BLOCK_SCHEMA = (
     "shard int, block int, first_doc long, last_doc long, first_token long, block_tokens long, dict_hash string, "
     "doc_ids array<long>, n_tokens array<int>, offsets array<int>, payload binary"
@@ -86,17 +86,34 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self.pack(self.library.encode(text, add_special_tokens=False).ids)
 
+    def piece(self, part: str) -> bytes:
+        """One pre-token by the BPE model."""
+        body = part[1:] if part[0] == " " else part
+        if body.isascii() and body.isalpha():
+            letters = self.letters[32] + body if body is not part else part
+        else:
+            letters = part.encode().decode("latin-1").translate(self.letters)
+        return self.pack([t.id for t in self.model.tokenize(letters)])
+
     def word(self, word: str) -> bytes:
-        if not PLAIN.fullmatch(word):
+        if not word or not PLAIN.fullmatch(word):
             return self.whole(word)
-        out = []
-        for part in SPLIT.findall(word):
-            known = self.parts.get(part)
+        # letters alone are one pre-token, and a sign after a letter begins one
+        if word.isalpha() or word[1:].isalpha() and word[0] == " ":
+            return self.piece(word)
+        if word[-1] in ".,;:!?" and word[-2:-1].isalpha():
+            head = word[:-1]
+            known = self.words.get(head)
             if known is None:
-                letters = part.encode().decode("latin-1").translate(self.letters)
-                known = self.parts[part] = self.pack([t.id for t in self.model.tokenize(letters)])
-            out.append(known)
-        return b"".join(out)
+                known = self.words[head] = self.word(head)
+            return known + self.part(word[-1])
+        return b"".join(map(self.part, SPLIT.findall(word)))
+
+    def part(self, part: str) -> bytes:
+        known = self.parts.get(part)
+        if known is None:
+            known = self.parts[part] = self.piece(part)
+        return known
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
