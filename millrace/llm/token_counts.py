@@ -2,7 +2,7 @@
 
 The distinct pre-tokens (space-led words) of a slice go into a trie, in sorted order. A node holds the best
 log-probability of any way to cut the string from the root to it into pieces, and the number of
-tokens of that way; a new node looks back over at most the longest piece, so a prefix that many
+tokens of that way; a new node looks back over at most the longest piece with its last two characters, so a prefix that many
 words share is scored once. The value at a word's last node is its count, and a document's count is
 the sum over its words.
 
@@ -50,7 +50,10 @@ class Trie:
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max(map(len, scores))
+        #: The longest piece by its last two characters.
+        self.reach: dict[str, int] = {}
+        for p in scores:
+            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
         self.byte = min(scores.values()) - 10
         self.clear()
 
@@ -62,8 +65,9 @@ class Trie:
         """Best score and count for word[:d], given those of all shorter prefixes."""
         n = len(word[d - 1].encode())
         top, least = (-math.inf, 0) if word[d - 1] in self.scores else (best[d - 1] + n * self.byte, count[d - 1] + n)
-        for j in range(max(0, d - self.longest), d):
-            s = self.scores.get(word[j:d])
+        find = self.scores.get
+        for j in (d - 1, *range(max(0, d - self.reach.get(word[d - 2 : d], 0)), d - 1)) if d > 1 else (0,):
+            s = find(word[j:d])
             if s is not None:
                 v = best[j] + s
                 if v > top or v == top and count[j] + 1 < least:
