@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,9 +72,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(documents(spark, sf_dir))
 
 
+def shipped(query):
+    """The query, after the executors have this package."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        common.ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
     found = (op1_language_id, op2_token_files, op3_decontamination, op4_html_extract, op5_substring_dedup, op6_jaccard_join, op7_quality_lm, op8_sentencepiece, op9_token_counts, op10_quality_rules)
-    return {f.__name__: f for f in found}
+    return {f.__name__: shipped(f) for f in found}
 
 
 #: Runs of word characters after lower-casing A-Z, as the contract of decontamination has them.
