@@ -88,22 +88,63 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, from a table that a worker keeps and empties when it is full."""
-    if len(_HASHES) > 1_000_000:
-        _HASHES.clear()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        h = self[word] = xxh3_64_intdigest(word)
-        return h
+#: Random 64-bit values of bytes, which bytes part words, and powers of an odd number and of its inverse.
+_VALUES = np.random.default_rng(20240101).integers(0, 1 << 64, 256, np.uint64)
+_BLANK = np.array([b in b" \t\n\r\x0b\x0c" for b in range(256)])
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+#: Longer texts are hashed piece by piece, so that the powers stay few.
+_PIECE = 1 << 20
+
+
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            out = np.ones(1, np.uint64)
+            while len(out) <= _PIECE:
+                out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+            _POWERS.append(out)
+    return tuple(_POWERS)
+
+
+def text_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of the words of a text (runs of anything but ASCII white space), in order.
+
+    A word's hash is a polynomial in the values of its bytes, taken for all words at once from
+    running sums: no word is cut out.
+    """
+    if not text:
+        return np.zeros(0, np.uint64)
+    if len(text) > _PIECE:
+        # cut at the last blank of each piece; a longer word is hashed by itself
+        cut = max(text.rfind(c, 0, _PIECE) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if cut <= 0:
+            return np.array([_slow_hash(w) for w in text.split()], np.uint64)
+        parts = []
+        while len(text) > _PIECE and cut > 0:
+            parts.append(text_hashes(text[:cut]))
+            text = text[cut:]
+            cut = max(text.rfind(c, 1, _PIECE) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        return np.concatenate([*parts, text_hashes(text)])
+    up, down = _powers()
+    raw = np.frombuffer(text, np.uint8)
+    edge = np.flatnonzero(np.diff(_BLANK[raw], prepend=True, append=True))
+    begins, ends = edge[::2], edge[1::2]
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_VALUES[raw] * up[: len(raw)], out=sums[1:])
+    return mixed((sums[ends] - sums[begins]) * down[begins])
+
+
+def _slow_hash(word: bytes) -> int:
+    """The same hash of one word of any length."""
+    h, power = 0, 1
+    for a in range(0, len(word), _PIECE):
+        raw = np.frombuffer(word[a : a + _PIECE], np.uint8)
+        h += int((_VALUES[raw] * _powers()[0][: len(raw)]).sum(dtype=np.uint64)) * power
+        power = power * pow(_BASE, len(raw), 1 << 64) % (1 << 64)
+    return int(mixed(np.array([h % (1 << 64)], np.uint64))[0])
 
 
-_HASHES = _Hashes()
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 

@@ -40,6 +40,11 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_TABLE).split() if text else []
 
 
+def hashes_of(text: bytes | None) -> np.ndarray:
+    """Hashes of words_of(text)."""
+    return common.text_hashes(text.translate(_TABLE) if text else None)
+
+
 def item_windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
     """item_id, window (its words, space-joined), n and the hashes of its shingles, all distinct."""
 
@@ -52,16 +57,15 @@ def item_windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFr
                 ids.append(i)
                 texts.append(b" ".join(w).decode())
                 sizes.append(len(w))
-                hashes.append(common.shingle_hashes(common.word_hashes(w), min(SHINGLE, len(w))).view(np.int64).tolist())
+                hashes.append(common.shingle_hashes(common.text_hashes(b" ".join(w)), min(SHINGLE, len(w))).view(np.int64).tolist())
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))], names=["item_id", "window", "n", "hashes"])
 
     picked = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
     return common.map_batches(picked, work, "item_id long, window string, n int, hashes array<long>").distinct()
 
 
-def _places(words: list[bytes], sizes: list[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, place and length of the shingles of a text that the bitmap lets through."""
-    h = common.word_hashes(words)
+def _places(h: np.ndarray, sizes: list[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, place and length of the shingles that the bitmap lets through, from the words' hashes."""
     found = []
     for k in sizes:
         s = common.shingle_hashes(h, k)
@@ -75,7 +79,7 @@ def shingle_counts(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> Da
     bits = common.bitmap(shingles, "h")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [_places(words_of(t), sizes, bits)[0] for t in common.utf8(batch.column("text"))]
+        found = [_places(hashes_of(t), sizes, bits)[0] for t in common.utf8(batch.column("text"))]
         h, n = np.unique(np.concatenate(found), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["h", "n"])
 
@@ -100,10 +104,12 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, found = [], []
         for t in common.utf8(batch.column("text")):
-            words = words_of(t)
-            counts.append(len(words))
+            hashes = hashes_of(t)
+            counts.append(len(hashes))
             row = []
-            for h, at, k in zip(*(x.tolist() for x in _places(words, sizes, bits))):
+            places = [x.tolist() for x in _places(hashes, sizes, bits)]
+            words = words_of(t) if places[0] else []
+            for h, at, k in zip(*places):
                 low = max(0, at + k - size)
                 row.append({"h": h, "at": at, "low": low, "around": b" ".join(words[low : at + size]).decode()})
             found.append(row)

@@ -49,10 +49,8 @@ COMMON_BITS, COMMON = 24, 24
 
 def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(common.shingle_hashes(common.word_hashes(words), min(k, len(words))))
+    words = common.text_hashes(text.lower() if text else None)
+    return np.unique(common.shingle_hashes(words, min(k, len(words)))) if len(words) else words
 
 
 def _key(s: np.ndarray) -> int:
@@ -135,19 +133,17 @@ def heads(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """key and packed hashes, once for each wanted key. They are made again from the texts: storing the
-    sets of all documents takes more room than the documents."""
-    bits = common.bitmap(wanted, "key")
+    """key and packed hashes for each of the wanted (key, text_hash). They are made again from the
+    texts: storing the sets of all documents takes more room than the documents."""
+    bits = common.bitmap(wanted, "text_hash")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = {_key(s): s.tobytes() for s in (shingle_set(t, k) for t in common.utf8(batch.column("text"))) if len(s)}
-        keys = np.array(list(found), np.int64)
-        at = np.flatnonzero(common.in_bitmap(bits, keys.view(np.uint64))).tolist()
-        values = list(found.values())
-        return pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array([values[i] for i in at], pa.binary())], names=["key", "hashes"])
+        at = np.flatnonzero(common.in_bitmap(bits, batch.column("text_hash").to_numpy(zero_copy_only=False).view(np.uint64)))
+        found = {_key(s): s.tobytes() for s in (shingle_set(t, k) for t in common.utf8(batch.column("text").take(pa.array(at)))) if len(s)}
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["key", "hashes"])
 
-    made = common.map_batches(docs.select("text"), work, "key long, hashes binary")
-    return made.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes"))
+    made = common.map_batches(docs.filter("text is not null").select("text_hash", "text"), work, "key long, hashes binary")
+    return made.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes"))
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -201,8 +197,16 @@ def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataF
     # length window: a member stays if the next smaller or next larger set of its region may link to it
     by_size = Window.partitionBy("region").orderBy("n", "key")
     fits = (F.lag("n").over(by_size) * den >= F.col("n") * num) | (F.col("n") * den >= F.lead("n").over(by_size) * num)
-    regions = common.stored(shared.withColumn("fits", fits).filter("fits").drop("fits"), "regions")
-    sets = common.stored(shingle_sets(docs, regions.select("key").distinct(), k), "sets")
+    sized = common.stored(shared.withColumn("fits", fits).filter("fits").drop("fits"), "members")
+    # near copies share many shingles: regions with the same members are one
+    marks = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    same = sized.groupBy("region").agg(F.count(F.lit(1)).alias("m"), *marks)
+    one = same.groupBy("m", "x1", "x2").agg(F.min("region").alias("one"))
+    named = common.stored(same.join(one, ["m", "x1", "x2"]).select("region", "one"), "names")
+    merged = sized.join(named, "region").groupBy("one", "key").agg(F.first("n").alias("n"), F.max("index").alias("index"))
+    regions = common.stored(merged.withColumnRenamed("one", "region"), "regions")
+    wanted = rows.select("key", "text_hash").join(regions.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("text_hash").alias("text_hash"))
+    sets = common.stored(shingle_sets(docs, wanted, k), "sets")
     pivots = common.stored(regions.filter("index").groupBy("region").agg(F.min("key").alias("pivot")), "pivots")
     distances = common.scratch(docs.sparkSession, "distances")
     known, turns = None, 1
