@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common
@@ -166,12 +166,12 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and label (the least node reachable) for all nodes of the edges.
+    """node and label (the least node reachable) for all nodes of the edges but the labels themselves.
 
     Large-star and small-star steps over stored tables: each node's neighbours are hung on the least
-    of them, until nothing changes.
+    of them, until nothing changes. Each step is one job, which also sums up the edges it writes.
     """
-    pairs = common.stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     last = None
     while True:
         # large star: neighbours greater than a node go to the least of its neighbours and itself
@@ -181,15 +181,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: a node and its lesser neighbours go to the least of those
         best = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(best, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        pairs = common.stored(small.union(best.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
-        mark = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark == last:
+        seen = Observation()
+        step = small.union(best.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        pairs = common.stored(step.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        if seen.get == last:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        last = mark
+        last = seen.get
 
 
 def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between keys, enough that their components are those of all links."""
+    """node and label: the components of all links between keys, but for the labels themselves."""
     member = rows.select("key", "n", F.explode("prefix").alias("p")).select("p.region", "key", "n", "p.index")
     member = member.groupBy("region", "key").agg(F.first("n").alias("n"), F.max("index").alias("index"))
     region = member.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.max("index").alias("any")).filter("m > 1 and any")
@@ -209,7 +210,9 @@ def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataF
     sets = common.stored(shingle_sets(docs, wanted, k), "sets")
     pivots = common.stored(regions.filter("index").groupBy("region").agg(F.min("key").alias("pivot")), "pivots")
     distances = common.scratch(docs.sparkSession, "distances")
+    union = F.col("n_a") + F.col("n_b") - F.col("shared")
     known, turns = None, 1
+    labels = docs.sparkSession.createDataFrame([], "node long, label long")
     while not pivots.isEmpty():
         sizes = regions.select(F.col("key").alias("pivot"), F.col("n").alias("n_p")).join(pivots.select("pivot").distinct(), "pivot", "left_semi").distinct()
         asked = regions.join(pivots, "region").filter("key <> pivot").select("key", "n", "pivot").distinct().join(sizes, "pivot")
@@ -217,10 +220,12 @@ def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataF
         pairs = fit.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
-        measured(pairs, sets).write.parquet(f"{distances}/{turns}")
+        seen = Observation()
+        measured(pairs, sets).observe(seen, F.count(F.when(F.col("shared") * den >= union * num, 1)).alias("n")).write.parquet(f"{distances}/{turns}")
         known = docs.sparkSession.read.schema(DISTANCES).parquet(f"{distances}/*")
-        union = F.col("n_a") + F.col("n_b") - F.col("shared")
-        labels = components(known.filter(F.col("shared") * den >= union * num))
+        if seen.get["n"]:
+            new = docs.sparkSession.read.schema(DISTANCES).parquet(f"{distances}/{turns}").filter(F.col("shared") * den >= union * num)
+            labels = components(new.select("a", "b").union(labels))
         named = regions.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         mixed = named.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("region")
         open_ = common.stored(named.join(mixed, "region", "left_semi"), "open")
@@ -242,7 +247,7 @@ def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataF
         turn = F.row_number().over(Window.partitionBy("region").orderBy("m", "label", "key"))
         pivots = common.stored(small.withColumn("turn", turn).filter(F.col("turn") <= 4**turns).select("region", F.col("key").alias("pivot")), "pivots")
         regions, turns = named.drop("label"), turns + 1
-    return known.filter(F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num).select("a", "b") if known is not None else None
+    return labels
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
@@ -251,13 +256,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     rows = common.stored(heads(docs, k, num, den), "heads")
-    found = links(docs, rows, k, num, den)
-    classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("id")).withColumn("label", F.col("key"))
-    if found is not None:
-        labels = common.stored(components(found), "labels")
-        classes = classes.drop("label").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        roots = classes.join(labels.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.min("id").alias("root"))
-        classes = classes.join(roots, "label", "left").select("key", F.coalesce("root", "id").alias("id"), "label")
+    labels = links(docs, rows, k, num, den)
+    classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"))
+    classes = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    roots = classes.join(labels.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.min("id").alias("root"))
+    classes = classes.join(roots, "label", "left").select("key", F.coalesce("root", "id").alias("id"), "label")
     own = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("long").alias("component"))
     full = rows.filter("n > 0").join(classes, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), "text_hash", F.col("label").alias("component"))
     return full.unionByName(own)
