@@ -13,7 +13,7 @@ pair. Inside the others, in rounds:
   pair of two components is left. Every member's exact distance to the pivots is computed once, however many
   regions share the pair, if the pair's sizes allow a link. Pairs within 1 - t are links.
 * Components of all links so far are found. A region of one component is settled.
-* Triangle windows: of two members whose distances to a pivot differ by more than 1 - t, neither links to the
+* Triangle windows, by the first pivot of each round: of two members whose distances to a pivot differ by more than 1 - t, neither links to the
   other. A member of the pivot's own cell that is nearer to it, by more than that, than all
   members of other components has no partner left in the region and stays behind; the members near the boundary go on into the next,
   smaller region with new pivots, and so do all others. Pivots stay behind as well.
@@ -42,6 +42,8 @@ from millrace.llm import common
 SHINGLE = 5
 #: Similarity as a fraction, so that bounds are whole-number arithmetic.
 NUMERATOR, DENOMINATOR = 80, 100
+#: Pairs that may be broadcast (16 bytes each), and rows with two sets each in an Arrow batch.
+BROADCAST_PAIRS, BATCH = 1_000_000, 200
 DISTANCES = "a long, b long, n_a long, n_b long, shared long"
 #: Bits of the bitmap of common shingles, and how often a shingle occurs to count as common.
 COMMON_BITS, COMMON = 24, 24
@@ -148,9 +150,11 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with n_a, n_b and the exact size of their intersection."""
-    left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("set_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    # pairs are two integers: up to a stated number they go to the sets, else both are shuffled
+    few = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
+    left = sets.withColumnsRenamed({"key": "a", "hashes": "set_a"}).join(few, "a")
+    right = sets.withColumnsRenamed({"key": "b", "hashes": "set_b"}).join(few, "b")
+    both = left.join(right, ["a", "b"]).select("a", "b", "set_a", "set_b")
 
     def run(batches):
         for batch in batches:
@@ -208,31 +212,34 @@ def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataF
     regions = common.stored(merged.withColumnRenamed("one", "region"), "regions")
     wanted = rows.select("key", "text_hash").join(regions.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("text_hash").alias("text_hash"))
     sets = common.stored(shingle_sets(docs, wanted, k), "sets")
-    pivots = common.stored(regions.filter("index").groupBy("region").agg(F.min("key").alias("pivot")), "pivots")
+    regions = regions.withColumn("label", F.col("key"))
+    least = regions.filter("index").groupBy("region").agg(F.min(F.struct("key", "n")).alias("p"))
+    pivots = common.stored(least.select("region", F.col("p.key").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.key").alias("label_p"), F.lit(1).alias("turn")), "pivots")
     distances = common.scratch(docs.sparkSession, "distances")
     union = F.col("n_a") + F.col("n_b") - F.col("shared")
     known, turns = None, 1
     labels = docs.sparkSession.createDataFrame([], "node long, label long")
     while not pivots.isEmpty():
-        sizes = regions.select(F.col("key").alias("pivot"), F.col("n").alias("n_p")).join(pivots.select("pivot").distinct(), "pivot", "left_semi").distinct()
-        asked = regions.join(pivots, "region").filter("key <> pivot").select("key", "n", "pivot").distinct().join(sizes, "pivot")
-        fit = asked.filter(F.least("n", "n_p") * den >= F.greatest("n", "n_p") * num)
-        pairs = fit.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+        # members of the pivot's own component, or out of the length window, need no comparison
+        asked = regions.join(pivots, "region").filter((F.col("label") != F.col("label_p")) & (F.least("n", "n_p") * den >= F.greatest("n", "n_p") * num))
+        pairs = asked.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         seen = Observation()
-        measured(pairs, sets).observe(seen, F.count(F.when(F.col("shared") * den >= union * num, 1)).alias("n")).write.parquet(f"{distances}/{turns}")
+        with common.batches_of(docs.sparkSession, BATCH):
+            found = measured(common.stored(pairs, "pairs"), sets)
+            found.observe(seen, F.count(F.when(F.col("shared") * den >= union * num, 1)).alias("n")).write.parquet(f"{distances}/{turns}")
         known = docs.sparkSession.read.schema(DISTANCES).parquet(f"{distances}/*")
         if seen.get["n"]:
             new = docs.sparkSession.read.schema(DISTANCES).parquet(f"{distances}/{turns}").filter(F.col("shared") * den >= union * num)
             labels = components(new.select("a", "b").union(labels))
-        named = regions.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        named = regions.drop("label").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         mixed = named.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("region")
         open_ = common.stored(named.join(mixed, "region", "left_semi"), "open")
         near = known.select(F.col("a").alias("key"), F.col("b").alias("pivot"), (F.col("shared") / union).alias("sim"))
         near = near.unionByName(near.select(F.col("pivot").alias("key"), F.col("key").alias("pivot"), "sim"))
-        # an uncompared pair is out of the length window: the ratio of sizes bounds its similarity
-        seen = open_.join(pivots, "region").filter("key <> pivot").join(sizes, "pivot").join(near, ["key", "pivot"], "left")
+        # the windows of the round's first pivot; the ratio of sizes bounds the similarity of an uncompared pair
+        seen = open_.join(pivots.filter("turn = 1"), "region").filter("key <> pivot").join(near, ["key", "pivot"], "left")
         seen = common.stored(seen.select("region", "pivot", "key", "label", "sim", F.coalesce("sim", F.least("n", "n_p") / F.greatest("n", "n_p")).alias("high")), "seen")
         cells = seen.groupBy("region", "pivot", "label").agg(F.max("high").alias("high"))
         top = cells.groupBy("region", "pivot").agg(F.max(F.struct("high", "label")).alias("top"))
@@ -240,13 +247,13 @@ def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataF
         behind = seen.join(beyond, ["region", "pivot", "label"]).filter(F.col("sim") - F.col("second") > 1 - num / den + 1e-9).select("region", "key")
         left = open_.join(behind.union(pivots.select("region", "pivot")).distinct(), ["region", "key"], "left_anti")
         alive = left.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("index").alias("any")).filter("x <> y and any").select("region")
-        named = common.stored(left.join(alive, "region", "left_semi"), "regions")
-        groups = named.groupBy("region", "label").agg(F.count(F.lit(1)).alias("m"))
+        regions = common.stored(left.join(alive, "region", "left_semi"), "regions")
+        groups = regions.groupBy("region", "label").agg(F.count(F.lit(1)).alias("m"))
         largest = groups.groupBy("region").agg(F.max(F.struct("m", "label")).alias("largest"))
-        small = named.join(groups, ["region", "label"]).join(largest, "region").filter(F.col("label") != F.col("largest.label"))
+        small = regions.join(groups, ["region", "label"]).join(largest, "region").filter(F.col("label") != F.col("largest.label"))
         turn = F.row_number().over(Window.partitionBy("region").orderBy("m", "label", "key"))
-        pivots = common.stored(small.withColumn("turn", turn).filter(F.col("turn") <= 4**turns).select("region", F.col("key").alias("pivot")), "pivots")
-        regions, turns = named.drop("label"), turns + 1
+        chosen = small.withColumn("turn", turn).filter(F.col("turn") <= 4**turns)
+        pivots, turns = common.stored(chosen.select("region", F.col("key").alias("pivot"), F.col("n").alias("n_p"), F.col("label").alias("label_p"), "turn"), "pivots"), turns + 1
     return labels
 
 
