@@ -1,6 +1,9 @@
 """Quality rules from compression: zstandard ratios of the whole text and of fixed chunks, inside
 bands that depend on the text's length. Too small a ratio is repetition, too large a one noise.
 
+Every byte lies in a tested chunk: chunks have 4096 bytes, in shorter texts 1024 or 256, and the last
+one ends where the text ends (and overlaps the one before it). A text under 256 bytes is one chunk.
+
 Words are runs of anything but ASCII white space. Null and empty texts have no words and fail the
 base rule. Rows come out as they came in: repeated rows and null ids each keep their own result.
 Everything is computed from one text alone, so no row waits for another.
@@ -17,8 +20,11 @@ from millrace.llm import common
 
 #: (bytes below which it holds, least ratio, greatest ratio) for whole texts.
 BANDS = ((256, 0.15, 9.0), (1024, 0.25, 0.85), (4096, 0.25, 0.72), (16384, 0.22, 0.70), (float("inf"), 0.15, 0.70))
-#: Chunks of so many bytes, their band, and the share of chunks that may lie outside it.
+#: Chunks of so many bytes, their band, and the share of chunks that may lie outside it. Smaller chunks
+#: have the band of a whole text of their length.
 CHUNK, CHUNK_LEAST, CHUNK_MOST, CHUNK_SHARE = 4096, 0.20, 0.72, 0.3
+#: Chunks of texts under CHUNK bytes: the first of these that the text fills.
+SMALLER = (1024, 256)
 LEVEL = 3
 SYMBOLS = b"#*$%&|<>"
 SCHEMA = (
@@ -44,6 +50,17 @@ def repeated_words(words: list[bytes]) -> int:
     return int(cover.sum())
 
 
+def chunks_of(text: bytes) -> list[bytes]:
+    """Chunks of one size that cover the text; the last one ends with it."""
+    size = next((n for n in (CHUNK, *SMALLER) if len(text) >= n), len(text))
+    out = [text[i : i + size] for i in range(0, len(text) - size + 1, size)]
+    return out if len(text) % size == 0 else [*out, text[-size:]]
+
+
+def band(size: int, bands) -> tuple[float, float]:
+    return next((lo, hi) for below, lo, hi in bands if size < below)
+
+
 def measure(text: bytes | None, compress, bands=BANDS) -> tuple:
     """All columns but doc_id for one text."""
     text = text or b""
@@ -63,10 +80,11 @@ def measure(text: bytes | None, compress, bands=BANDS) -> tuple:
     if not text:
         return n, chars, symbols, dup, repeat, failed, False, None, 0, 0
     ratio = len(compress(text)) / len(text)
-    least, most = next((lo, hi) for below, lo, hi in bands if len(text) < below)
-    chunks = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
-    chunks = [c for c in chunks if len(c) == CHUNK] or []
-    bad = sum(not CHUNK_LEAST <= len(compress(c)) / CHUNK <= CHUNK_MOST for c in chunks)
+    least, most = band(len(text), bands)
+    chunks = chunks_of(text)
+    size = len(chunks[0])
+    low, high = (CHUNK_LEAST, CHUNK_MOST) if size == CHUNK else band(size, bands)
+    bad = sum(not low <= len(compress(c)) / size <= high for c in chunks)
     kept = not failed and least <= ratio <= most and bad <= CHUNK_SHARE * len(chunks)
     return n, chars, symbols, dup, repeat, failed, kept, ratio, len(chunks), bad
 

@@ -158,3 +158,24 @@ def test_quality_rules_bands(spark):
     kept = quality_rules.keep(frame(spark, [(1, noise), (3, plain), (None, plain), (4, None)]))
     assert kept.columns == ["doc_id", "text", "n_tokens", "kept"]
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "None"]
+
+
+def test_quality_rules_chunks_cover():
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=quality_rules.LEVEL).compress
+    rng = random.Random(6)
+    plain = " ".join("".join(rng.choices(["the", "an", "re", "ti", "or", "is", "on"], k=rng.randint(1, 4))) for _ in range(3000)).encode()
+    for n in (1, 255, 256, 700, 1024, 3000, 4095, 4096, 8000, 8192, 12000):
+        text = bytes(rng.choices(range(97, 123), k=n))
+        chunks = quality_rules.chunks_of(text)
+        assert len({len(c) for c in chunks}) == 1 and text.startswith(chunks[0]) and text.endswith(chunks[-1])
+        assert sum(map(len, chunks)) - len(chunks[0]) < n <= sum(map(len, chunks))
+        assert quality_rules.measure(plain[:n], compress)[8] == len(chunks)
+    # the bad part lies in the rest after the first 4096 bytes, and in a text too short for such a chunk
+    noise = " ".join("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=60)) for _ in range(70)).encode()
+    for text in (plain[:4100] + noise[:3900], plain[:1500] + noise[:1500]):
+        got = quality_rules.measure(text, compress)
+        least, most = quality_rules.band(len(text), quality_rules.BANDS)
+        assert not got[5] and least <= got[7] <= most
+        assert got[9] and not got[6]
