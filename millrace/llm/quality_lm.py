@@ -1,20 +1,23 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters in CLASSES classes (lower-case Latin letters, the common accented ones,
-capitals, digits, blanks, punctuation and so on), of order 4, so that no table has more than
-CLASSES ** 4 entries, whatever the corpus. All trusted documents are counted.
-
-* Tasks count 4-grams; the counts are added up by a shuffle on the gram. Continuation counts of the lower
-  orders, the counts of counts for the three discounts of each order, and the totals of each context
-  are further aggregations, and joins of grams with their contexts (sharded by context) give each
-  gram's discounted probability and each context's back-off weight.
-* The probabilities of seen grams and the weights come to the driver as at most CLASSES ** 4 rows and go out as arrays of that
-  bounded size; unseen grams back off to lower orders by the same arrays.
-* A document's perplexity is that of all its characters, each given the three before it.
+The model is over words (runs of anything but ASCII white space; each kana, Han or Hangul character by itself), of
+order WORD_ORDER, keyed by 64-bit hashes: there is no fixed alphabet and no bound on its size. All trusted documents are counted.
+
+* Tasks count n-grams of each order; the counts are added up by a shuffle. Continuation counts of the lower orders, the
+  counts of counts for the discounts and the totals of contexts are further aggregations; joins give each gram's
+  probability and each context's back-off weight. All of these stay tables, sharded by hash.
+* Below single words there is a spelling model: Kneser-Ney over characters in CLASSES classes, of order ORDER, and over the characters of
+  each class. It tells the probability of a word's letters only, for words not seen before; it has CLASSES ** ORDER numbers at most and goes to the tasks.
+* The log-probability of a document is a sum over its n-grams: the spelling of each word, the weight of each known
+  context, and for each known gram what it adds to the next shorter one. A slice of documents asks once for each
+  distinct gram, by a join with the table; grams that a bitmap of fixed size rules out are not asked for.
+* A trusted document is scored without the grams that only itself has, so that thresholds hold for documents that
+  were not counted.
+* Perplexity is per character of the words and one blank after each.
 * The threshold of a language is the QUANTILE of its trusted documents' perplexities. Documents of a language
   without trusted ones, or of none, use the quantile over all trusted documents.
 
-Null and empty texts have no perplexity and are not kept. With nothing trusted there is no model: nothing has
+Null, empty and blank texts have no perplexity and are not kept. With nothing trusted there is no model: nothing has
 a perplexity and nothing is kept. Repeated rows and null ids each give their own row; a document
 is trusted if any label of its id says so, and null ids are never trusted.
 """
@@ -22,6 +25,7 @@ is trusted if any label of its id says so, and null ids are never trusted.
 from __future__ import annotations
 
 import math
+import re
 from functools import cache
 
 import numpy as np
@@ -36,6 +40,12 @@ ORDER, QUANTILE = 4, 0.995
 OWN = "abcdefghijklmnopqrstuvwxyz \n.,!|éèêçàäöüßñíóú"
 #: Then capitals, digits, other blanks, other ASCII signs, other letters, anything else.
 CLASSES = len(OWN) + 7
+WORD_ORDER = 3
+BITS = 26
+#: Scripts without blanks between words: each character is a word.
+ALONE = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\U00020000-\U0003134f]")
+#: Stands for the words before a text's first.
+START = np.uint64(0x5851F42D4C957F2D)
 BROADCAST_IDS = 4_000_000
 SCHEMA = "doc_id long, lang string, n_chars long, perplexity double"
 
@@ -60,6 +70,14 @@ def class_of() -> np.ndarray:
     return out
 
 
+@cache
+def within() -> np.ndarray:
+    """Log-probability of each character in its class; those of longer UTF-8 are less likely."""
+    i = np.arange(0x110000)
+    p = 256.0 ** -((i >= 0x80).astype(int) + (i >= 0x800) + (i >= 0x10000))
+    return np.log(p / np.bincount(class_of(), p)[class_of()]).astype(np.float32)
+
+
 def codes(text: str | None) -> np.ndarray:
     """The 4-gram that ends at each character, as one integer."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -138,18 +156,187 @@ def train(trusted: DataFrame) -> Model | None:
     return Model(tables)
 
 
-def perplexities(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs (doc_id, lang, trusted, text) with n_chars and perplexity for text."""
+def words_of(text: str | None) -> bytes:
+    """The words of a text with one blank after each."""
+    raw = (text or "").encode("utf-8", "replace")
+    if text and not text.isascii() and ALONE.search(text):
+        raw = ALONE.sub(r" \g<0> ", text).encode("utf-8", "replace")
+    words = raw.split()
+    return b" ".join(words) + b" " if words else b""
+
+
+def grams(words: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Keys of the n-grams of each order that end at each word, and of their contexts (none for order 1)."""
+    seq = np.concatenate([np.full(WORD_ORDER - 1, START), common.text_hashes(words)])
+    runs = [common.shingle_hashes(seq, k) for k in range(1, WORD_ORDER + 1)]
+    found = [r[WORD_ORDER - k :] for k, r in enumerate(runs, 1)]
+    return found, [r[WORD_ORDER - 1 - k : -1] for k, r in enumerate(runs[:-1], 1)]
+
+
+def spelling(words: bytes, logs: np.ndarray) -> np.ndarray:
+    """Log-probability of the letters of each word and the blank after it, each word from its own start."""
+    points = np.frombuffer(words.decode().encode("utf-32-le"), np.uint32)
+    c = class_of()[points].astype(np.int64)
+    ends = np.flatnonzero(points == 32)
+    begin = np.append(0, ends[:-1] + 1)
+    inside = np.arange(len(c)) - np.repeat(begin, np.diff(np.append(begin, len(c))))
+    code = c.copy()
+    for i in range(1, ORDER):
+        code[i:] += np.where(inside[i:] >= i, c[:-i], 0) * CLASSES**i
+    return np.add.reduceat(logs[code].astype(np.float64) + within()[points], begin)
+
+
+def word_counts(trusted: DataFrame, spell: Model) -> DataFrame:
+    """Each n-gram's key h, order, keys of its context and of the gram one word shorter, occurrences and spelling."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        texts = [w for w in map(words_of, batch.column("text").to_pylist()) if w]
+        if not texts:
+            return None
+        both = [grams(w) for w in texts]
+        keys = [np.concatenate([g[k] for g, _ in both]) for k in range(WORD_ORDER)]
+        contexts = [np.zeros(len(keys[0]), np.uint64), *(np.concatenate([c[k] for _, c in both]) for k in range(WORD_ORDER - 1))]
+        spelt = np.concatenate([spelling(w, spell.logs) for w in texts])
+        parts = []
+        for k, (g, c) in enumerate(zip(keys, contexts)):
+            h, at, n = np.unique(g, return_index=True, return_counts=True)
+            shorter = keys[k - 1][at] if k else np.zeros(len(h), np.uint64)
+            parts.append((np.full(len(h), k + 1, np.int32), h.view(np.int64), c[at].view(np.int64), shorter.view(np.int64), n, spelt[at] if k == 0 else np.zeros(len(h))))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["k", "h", "context", "shorter", "n", "spelt"])
+
+    rows = common.map_batches(trusted.select("text"), work, "k int, h long, context long, shorter long, n long, spelt double")
+    return rows.groupBy("k", "h").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"), F.sum("n").alias("n"), F.max("spelt").alias("spelt"))
+
+
+def word_table(trusted: DataFrame, spell: Model) -> tuple[DataFrame, float] | None:
+    """For each key: what the gram adds to the log-probability (adds, occurrences n), and its weight as a context
+    (weight, occurrences as such m); and the weight of the empty context."""
+    counts = common.stored(word_counts(trusted, spell), "words")
+    if counts.isEmpty():
+        return None
+    shorter, empty, parts = None, 0.0, []
+    for k in range(1, WORD_ORDER + 1):
+        here = counts.filter(F.col("k") == k)
+        if k < WORD_ORDER:
+            # continuation count: in how many longer grams it is the end
+            ends = counts.filter(F.col("k") == k + 1).groupBy(F.col("shorter").alias("h")).agg(F.count(F.lit(1)).alias("c"))
+            here = here.join(ends, "h")
+        else:
+            here = here.withColumn("c", F.col("n"))
+        c = here.agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
+        y = c[0] / max(1, c[0] + 2 * c[1])
+        d1, d2, d3 = (min(i, max(0.1 * i, i - (i + 1) * y * c[i] / c[i - 1])) if c[i - 1] else 0.5 * i for i in (1, 2, 3))
+        # a discount of all of a count would leave a known gram, or of none the unknown ones, without any probability
+        d1, d2, d3 = (min(max(d, 0.1 * i), 0.95 * i) for i, d in enumerate((d1, d2, d3), 1))
+        here = here.withColumn("d", F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3))
+        contexts = here.groupBy("context").agg((F.sum("d") / F.sum("c")).alias("w"), F.sum("c").alias("total"), F.sum("n").alias("m"))
+        if k == 1:
+            top = contexts.first()
+            empty = math.log(top["w"])
+            held = here.withColumn("w", F.lit(top["w"])).withColumn("total", F.lit(top["total"])).withColumn("below", F.col("spelt"))
+        else:
+            held = here.join(contexts.drop("m"), "context").join(shorter, "shorter")
+            parts.append(contexts.select(F.col("context").alias("h"), F.lit(0.0).alias("adds"), F.lit(0).cast("long").alias("n"), F.log("w").alias("weight"), "m"))
+        # log(p + w * below) - log(w * below), where p may be far greater than w * below
+        own = F.log((F.col("c") - F.col("d")) / F.col("total"))
+        low = F.log("w") + F.col("below")
+        high = F.greatest(own, low)
+        full = high + F.log(F.exp(own - high) + F.exp(low - high))
+        made = common.stored(held.select("h", "n", full.alias("p"), (full - low).alias("adds")), "grams")
+        parts.append(made.select("h", "adds", "n", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("m")))
+        shorter = made.select(F.col("h").alias("shorter"), F.col("p").alias("below"))
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    return common.stored(table.groupBy("h").agg(*[F.sum(x).alias(x) for x in ("adds", "n", "weight", "m")]), "model"), empty
+
+
+def asked(docs: DataFrame, spell: Model, empty: float, bits: np.ndarray) -> DataFrame:
+    """One row for each document (h is null), numbered by uid, with the part of its log-probability that needs no look-up; and
+    one for each distinct gram of a slice: uid of the slice, h, and packed for each document that has it its
+    number, occurrences as gram and as context, and whether it is trusted."""
+    schema = "uid long, doc_id long, lang string, trusted boolean, n_chars long, size long, base double, h long, who binary"
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.binary()]
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("text").to_pylist()
-        found = [model.perplexity(t) if model else None for t in texts]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("lang"), batch.column("trusted"), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(found, pa.float64())],
-            names=["doc_id", "lang", "trusted", "n_chars", "perplexity"],
-        )
+    def run(batches):
+        from pyspark import TaskContext
 
-    return common.map_batches(docs.select("doc_id", "lang", "trusted", "text"), work, "doc_id long, lang string, trusted boolean, n_chars long, perplexity double")
+        uid = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                trusted = part.column("trusted").to_pylist()
+                size, base, keys, packed = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+                for i, t in enumerate(texts):
+                    w = words_of(t)
+                    if not w:
+                        size.append(None)
+                        base.append(None)
+                        continue
+                    size.append(len(w.decode()))
+                    spelt = spelling(w, spell.logs)
+                    base.append(float(spelt.sum()) + empty * len(spelt))
+                    found, contexts = grams(w)
+                    h = np.concatenate([*found, *contexts])
+                    as_gram = np.arange(len(h)) < sum(map(len, found))
+                    hit = common.in_bitmap(bits, h)
+                    h, at = np.unique(h[hit], return_inverse=True)
+                    n = np.bincount(at, as_gram[hit], len(h)).astype(np.uint64)
+                    m = np.bincount(at, ~as_gram[hit], len(h)).astype(np.uint64)
+                    keys.append(h)
+                    packed += [np.stack([np.full(len(h), 2 * i + trusted[i], np.uint64) | n << np.uint64(32), m], 1).ravel()]
+                rows = part.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(uid, uid + rows), pa.int64()), part.column("doc_id"), part.column("lang"), part.column("trusted"), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(size, pa.int64()), pa.array(base, pa.float64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary())],
+                    names=names,
+                )
+                h, who = np.concatenate(keys), np.concatenate(packed).reshape(-1, 2)
+                order = np.argsort(h, kind="stable")
+                h, who = h[order], who[order]
+                at = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+                if len(at):
+                    # 4 bytes each: document and mark, occurrences, occurrences as context
+                    thin = np.ascontiguousarray(who).view("<u4").reshape(-1, 4)[:, :3]
+                    data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((12 * np.append(at, len(h))).astype(np.int32).tobytes()), pa.py_buffer(thin.tobytes())])
+                    fill = [pa.nulls(len(at), k) for k in kinds[1:7]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), uid)), *fill, pa.array(h[at].view(np.int64)), data], names=names)
+                uid += rows
+
+    return docs.select("doc_id", "lang", "trusted", "text").mapInArrow(run, schema)
+
+
+def added(found: DataFrame) -> DataFrame:
+    """uid and v: what the known grams (joined with the table) add for each document, summed up for each batch."""
+
+    def work(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            who = batch.column("who").to_pylist()
+            e = np.frombuffer(b"".join(who), "<u4").reshape(-1, 3).astype(np.int64)
+            at = np.repeat(np.arange(len(who)), [len(x) // 12 for x in who])
+            uid, adds, n, weight, m = (batch.column(c).to_numpy()[at] for c in ("uid", "adds", "n", "weight", "m"))
+            own = e[:, 0] & 1
+            # of a trusted document only what others have too
+            v = np.where(n > own * e[:, 1], e[:, 1] * adds, 0.0) + np.where(m > own * e[:, 2], e[:, 2] * weight, 0.0)
+            ids, back = np.unique(uid + (e[:, 0] >> 1), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(back, v, len(ids)))], names=["uid", "v"])
+
+    return found.select("uid", "who", "adds", "n", "weight", "m").mapInArrow(work, "uid long, v double").groupBy("uid").agg(F.sum("v").alias("v"))
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """docs (doc_id, lang, trusted, text) with n_chars and perplexity for text."""
+    spell = train(trusted)
+    model = word_table(trusted, spell) if spell else None
+    if model is None:
+        return docs.select("doc_id", "lang", "trusted", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.lit(None).cast("double").alias("perplexity"))
+    table, empty = model
+    rows = common.stored(asked(docs, spell, empty, common.bitmap(table, "h", BITS)), "asked")
+    sums = added(rows.filter("h is not null").select("uid", "h", "who").join(table, "h"))
+    total = F.col("base") + F.coalesce("v", F.lit(0.0))
+    return rows.filter("h is null").join(sums, "uid", "left").select("doc_id", "lang", "trusted", "n_chars", F.exp(-total / F.col("size")).alias("perplexity"))
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -162,8 +349,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     marked = docs.join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    model = train(marked.filter("trusted"))
-    scored = common.stored(perplexities(marked, model), "perplexities")
+    scored = common.stored(perplexities(marked, marked.filter("trusted")), "perplexities")
     good = scored.filter("trusted and perplexity is not null")
     cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     by_lang = good.filter("lang is not null").groupBy("lang").agg(cut.alias("own"))

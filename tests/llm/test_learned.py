@@ -147,3 +147,31 @@ def test_extract_edges(spark, sf_dir):
     assert html_extract.extract(pages.limit(0)).count() == 0
     for r in html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect():
         assert r.text and "track(" not in r.text and "©" not in r.text
+
+
+def test_words_have_no_fixed_alphabet(spark):
+    """Prose, its words shuffled and noise of the same shape, in an alphabet without classes of its own."""
+    import random
+
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x430, 0x450)]
+    vocabulary = ["".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(60)]
+    after = {w: rng.sample(vocabulary, 2) for w in vocabulary}
+
+    def prose(n=80):
+        out = [rng.choice(vocabulary)]
+        while len(out) < n:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    good, other = prose(), prose()
+    rows = [(i, " ".join(prose()), "ru") for i in range(60)]
+    rows += [(100, " ".join(good), "ru"), (101, " ".join(rng.sample(good, len(good))), "ru"), (102, " ".join("".join(rng.choices(letters, k=len(w))) for w in good), "ru"), (103, " ".join(other), "ru"), (103, " ".join(other), "ru")]
+    got = quality_lm.classify(frame(spark, rows), spark.createDataFrame([(i,) for i in range(60)], "id long")).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(rows)
+    assert 1.3 * by[100].perplexity < by[101].perplexity and 1.3 * by[101].perplexity < by[102].perplexity
+    assert by[100].kept and by[103].kept and not by[101].kept and not by[102].kept
+    assert len({r.perplexity for r in got if r.doc_id == 103}) == 1
+    # a trusted document is scored like one that was not counted
+    assert sorted(r.perplexity for r in got if r.doc_id < 60)[0] > 0.8 * by[100].perplexity
