@@ -1,4 +1,4 @@
-"""Jaccard similarity join over word shingles by pivots, Voronoi regions and triangle windows.
+"""Jaccard similarity join over word shingles by shared prefixes, pivots and triangle windows.
 
 Jaccard distance is a metric, but it is 1 between any two texts that share no shingle, and among such
 texts no pivot tells anything. So regions start from a lossless cover. Two sets of similarity t or
@@ -20,7 +20,8 @@ pair. Inside the others, in rounds:
 
 Each round takes at least one member from every region, so this ends, and no link between
 different components is lost: an unsettled pair stays in one region until one of the two is a pivot.
-A region of M near copies costs about M comparisons, not M * M. Texts with equal sets are one class from
+A region of M near copies costs about M comparisons, not M * M; one of M texts without links costs about M * M / 2.
+Texts with equal sets are one class from
 the start, components are found over stored tables, and nothing but counts and bitmaps of fixed size
 reaches the driver.
 
