@@ -6,7 +6,6 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -20,12 +19,20 @@ SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir or the context's checkpoint folder.
+
+    Where neither is set, a local session takes a new temporary folder; a cluster has to name one.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        if current.isDefined():
+            path = current.get()
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+            spark.sparkContext.setCheckpointDir(path)
+        else:
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
@@ -46,18 +53,6 @@ def ship(spark: SparkSession) -> None:
 _SHIPPED: set[str] = set()
 
 
-@contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows, for jobs that run inside; for rows that are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -101,72 +96,116 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
-#: Random 64-bit values of bytes, which bytes part words, and powers of an odd number and of its inverse.
-_VALUES = np.random.default_rng(20240101).integers(0, 1 << 64, 256, np.uint64)
+#: Which bytes part words, masks of the low bytes of a 64-bit word, and multipliers.
 _BLANK = np.array([b in b" \t\n\r\x0b\x0c" for b in range(256)])
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
-#: Longer texts are hashed piece by piece, so that the powers stay few.
-_PIECE = 1 << 20
-
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Longer words are hashed one by one.
+_LONG = 128
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS:
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            out = np.ones(1, np.uint64)
-            while len(out) <= _PIECE:
-                out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
-            _POWERS.append(out)
-    return tuple(_POWERS)
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads them evenly."""
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(32))
 
-def text_hashes(text: bytes | None) -> np.ndarray:
-    """64-bit hashes of the words of a text (runs of anything but ASCII white space), in order.
 
-    A word's hash is a polynomial in the values of its bytes, taken for all words at once from
-    running sums: no word is cut out.
-    """
-    if not text:
-        return np.zeros(0, np.uint64)
-    if len(text) > _PIECE:
-        # cut at the last blank of each piece; a longer word is hashed by itself
-        cut = max(text.rfind(c, 0, _PIECE) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-        if cut <= 0:
-            return np.array([_slow_hash(w) for w in text.split()], np.uint64)
-        parts = []
-        while len(text) > _PIECE and cut > 0:
-            parts.append(text_hashes(text[:cut]))
-            text = text[cut:]
-            cut = max(text.rfind(c, 1, _PIECE) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-        return np.concatenate([*parts, text_hashes(text)])
-    up, down = _powers()
-    raw = np.frombuffer(text, np.uint8)
-    edge = np.flatnonzero(np.diff(_BLANK[raw], prepend=True, append=True))
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word."""
+    edge = np.flatnonzero(np.diff(_BLANK[np.frombuffer(text, np.uint8)], prepend=True, append=True))
     begins, ends = edge[::2], edge[1::2]
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUES[raw] * up[: len(raw)], out=sums[1:])
-    return mixed((sums[ends] - sums[begins]) * down[begins])
+    size = ends - begins
+    at = np.ndarray((len(text) + 1,), "<u8", text + bytes(8), strides=(1,))
+    h = mixed((at[begins] & _LOW[np.minimum(size, 8)]) + size.astype(np.uint64) * _ODD)
+    rest, done = np.flatnonzero(size > 8), 8
+    while len(rest) and done < _LONG:
+        chunk = at[begins[rest] + done] & _LOW[np.minimum(size[rest] - done, 8)]
+        h[rest] = mixed(h[rest] * _ODD + chunk)
+        done += 8
+        rest = rest[size[rest] > done]
+    if len(rest):
+        import xxhash
+
+        h[rest] = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(begins[rest].tolist(), ends[rest].tolist())]
+    return h, begins
 
 
-def _slow_hash(word: bytes) -> int:
-    """The same hash of one word of any length."""
-    h, power = 0, 1
-    for a in range(0, len(word), _PIECE):
-        raw = np.frombuffer(word[a : a + _PIECE], np.uint8)
-        h += int((_VALUES[raw] * _powers()[0][: len(raw)]).sum(dtype=np.uint64)) * power
-        power = power * pow(_BASE, len(raw), 1 << 64) % (1 << 64)
-    return int(mixed(np.array([h % (1 << 64)], np.uint64))[0])
+def text_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of the words of a text (runs of anything but ASCII white space), in order.
 
+    Words are read eight bytes at a time, for all words at once: no word is cut out. Each step is a bijection
+    of what it reads, so words of the same length up to eight bytes never share a hash.
+    """
+    return _words(text)[0] if text else np.zeros(0, np.uint64)
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
 
+def slice_hashes(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of all texts, one after the other, and where each text's begin (one more for the end).
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads them evenly."""
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    return h ^ (h >> np.uint64(32))
+    The same hashes as text_hashes gives, for a whole slice at once.
+    """
+    whole = b"\n".join([t or b"" for t in texts])
+    h, begins = _words(whole.lower() if lower else whole) if whole else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    ends = np.cumsum([len(t or b"") + 1 for t in texts], dtype=np.int64)
+    return h, np.concatenate([[0], np.searchsorted(begins, ends)])
+
+
+def slice_shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and place (in words) of all runs of k words that lie in one text of a slice."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    n = max(0, len(h) - k + 1)
+    at = np.flatnonzero(text[:n] == text[k - 1 :][:n])
+    return shingle_hashes(h, k)[at], text[at], at - first[text[at]]
+
+
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys of a sorted stream of batches; one run at a time is held."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def packed(column: pa.ChunkedArray | pa.Array, kind: str = "<u8") -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of packed arrays, and how many each row has."""
+    width = np.dtype(kind).itemsize
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    values, sizes = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+    for c in chunks:
+        if len(c):
+            at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+            if at[-1] > at[0]:
+                values.append(np.frombuffer(c.buffers()[2], kind, (at[-1] - at[0]) // width, at[0]))
+            sizes.append(np.diff(at) // width)
+    return np.concatenate(values), np.concatenate(sizes)
+
+
+def pack(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A column of packed arrays: values[edges[i] : edges[i + 1]] for each i."""
+    offsets = (np.asarray(edges, np.int64) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def heads(values: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -1,41 +1,42 @@
-"""Jaccard similarity join over word shingles by shared prefixes, pivots and triangle windows.
-
-Jaccard distance is a metric, but it is 1 between any two texts that share no shingle, and among such
-texts no pivot tells anything. So regions start from a lossless cover. Two sets of similarity t or
-more share one of the first n - ceil(t n) + 1 of their shingles in a common order, and one of the two
-has it among its first n - ceil(2 t / (1 + t) n) + 1 (its index prefix). The texts with a shingle in those
-prefixes form a root region. The order puts shingles that are common in the corpus last (a bitmap of
-fixed size marks them; any common order is exact). Regions with one set, or with no index member, hold no
-pair. Inside the others, in rounds:
-
-* The first pivot is the region's least index member. Later rounds take pivots from all components of the region but its
-  largest, smallest components first, four times as many each round: once all of these have been pivots, no
-  pair of two components is left. Every member's exact distance to the pivots is computed once, however many
-  regions share the pair, if the pair's sizes allow a link. Pairs within 1 - t are links.
-* Components of all links so far are found. A region of one component is settled.
-* Triangle windows, by the first pivot of each round: of two members whose distances to a pivot differ by more than 1 - t, neither links to the
-  other. A member of the pivot's own cell that is nearer to it, by more than that, than all
-  members of other components has no partner left in the region and stays behind; the members near the boundary go on into the next,
-  smaller region with new pivots, and so do all others. Pivots stay behind as well.
-
-Each round takes at least one member from every region, so this ends, and no link between
-different components is lost: an unsettled pair stays in one region until one of the two is a pivot.
-A region of M near copies costs about M comparisons, not M * M; one of M texts without links costs about M * M / 2.
-Texts with equal sets are one class from
-the start, components are found over stored tables, and nothing but counts and bitmaps of fixed size
-reaches the driver.
+"""Exact Jaccard join of word shingle sets in metric space: pivots, their regions, triangle windows, recursion.
+
+Jaccard distance is a metric, but it is 1 between any two texts that share no shingle, and among such texts no
+pivot tells anything. So the first regions are a lossless cover: two sets of similarity t or more share one of
+the first n - ceil(t n) + 1 of their shingles in a common order, and one of the two has it among its first
+n - ceil(2 t / (1 + t) n) + 1 (its index prefix). The order is by how many texts have a shingle, rarest first.
+
+1. Shared shingles. Each slice of texts asks once for each of its distinct shingles; an aggregation by shingle answers
+   those that occur again, with their frequency (as a power of two). A text that more than 1 - t of its shingles
+   are its own cannot link to any other and leaves here; of the others only the shared shingles are kept.
+2. Regions. A root region is a prefix shingle of two texts or more, one of them by its index prefix. Its pivot is its most
+   central member: the one whose shingles are the most frequent ones. Regions of one pivot make up its cell, and each
+   text goes into the cells of all pivots that it meets.
+3. Distances of a cell's members to its pivot are exact, and pairs within 1 - t are links. Nothing is left to do in
+   a cell whose members all link to the pivot.
+4. Triangle windows. In the other cells members are parted in rings around the pivot, RINGS * (1 - t) wide; a member no
+   farther than 1 - t from the next ring is replicated to it. Two sets also differ from each other by what only one of them
+   has of their differences from the pivot, which bounds from below how many of these differences a link must share. A prefix of
+   them, rarest first, names the regions of the next round. Members that both link to the pivot need no such region.
+5. These regions are joined in the same way, each around a pivot of its own. A pivot is never in the regions that come out of its
+   cell, and all of their members come after it in the order by which pivots are taken, so this ends, and any two texts that
+   link meet in some cell where one is the pivot, or both link to it.
+
+Near copies of one text cost one distance each. Links are put together to components over stored tables; only
+row counts reach the driver. No join has a cap.
 
 Words are lower-cased (A-Z) runs of non-blank characters; a set holds all shingles of five words, or the
-whole sequence if there are fewer. Null, empty and blank texts have the empty set, link to nothing and
-are their own component. Every row gives one row. Rows with a null id take part, and the component has the
-least id that is not null (null if there is none); rows of equal ids with different texts are different sets.
+whole sequence if there are fewer. Shingles are compared by 51 bits of a hash, texts by 128 bits of their words. Null, empty
+and blank texts have the empty set, link to nothing and are their own component. Every row gives one row, an empty
+table gives none. Rows with a null id take part, and the component has the least id that is not null (null if there is
+none); rows of equal ids with different texts are different sets. Texts of any length are taken whole: a text is one
+array in one task. Other columns of the table, whatever their names, are not read by join(); keep() returns them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.llm import common
@@ -43,131 +44,192 @@ from millrace.llm import common
 SHINGLE = 5
 #: Similarity as a fraction, so that bounds are whole-number arithmetic.
 NUMERATOR, DENOMINATOR = 80, 100
-#: Pairs that may be broadcast (16 bytes each), and rows with two sets each in an Arrow batch.
-BROADCAST_PAIRS, BATCH = 1_000_000, 200
-DISTANCES = "a long, b long, n_a long, n_b long, shared long"
-#: Bits of the bitmap of common shingles, and how often a shingle occurs to count as common.
-COMMON_BITS, COMMON = 24, 24
+#: Width of a ring around a pivot, in links.
+RINGS = 2
+#: Low bits of a hash that give way to a text's number in its slice; the last number stands for several texts.
+TEXT_BITS = 13
+SEVERAL = (1 << TEXT_BITS) - 1
+HASH_BITS = 64 - TEXT_BITS
+#: At least so many parts of the range of hashes, each answered by itself.
+PARTS_BITS = 10
+ROWS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int32()), ("n", pa.int64()), ("key", pa.binary())])
 
 
-def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    words = common.text_hashes(text.lower() if text else None)
-    return np.unique(common.shingle_hashes(words, min(k, len(words)))) if len(words) else words
+def asked(docs: DataFrame, k: int, bits: int) -> DataFrame:
+    """For each slice of texts: its distinct shingles by part of the hash range (part >= 0), each with the number of the text
+    that has it; its rows (odd negative part) and the shingles that several texts have (even negative part)."""
 
+    def work(batches):
+        from pyspark import TaskContext
 
-def _key(s: np.ndarray) -> int:
-    """A 64-bit digest of a set."""
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-
-
-def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Bitmap of the shingles that occur in COMMON sets or more.
-
-    A task reports the shingles it has met twice or more, so one that is in more sets than there are
-    tasks is always reported; the counts over all tasks decide.
-    """
-
-    def run(batches):
-        held: list[np.ndarray] = []
-        size = 0
-
-        def twice():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], names=["h", "n"])
-
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in common.slices(batch, "text"):
-                sets = [shingle_set(t, k) for t in common.utf8(part.column("text"))]
-                held += sets
-                size += sum(map(len, sets))
-                if size > 4_000_000:
-                    yield twice()
-                    held, size = [], 0
-        if held:
-            yield twice()
-
-    counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return common.bitmap(counts.filter(F.col("n") >= COMMON), "h", COMMON_BITS)
-
-
-def _ordered(s: np.ndarray, often: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The prefix of a set that a similar set has to meet, rare shingles first."""
-    n = len(s)
-    late = common.in_bitmap(often, s)
-    return np.concatenate([s[~late], s[late]])[: n - -(-num * n // den) + 1] if n else s
-
-
-def crowded(docs: DataFrame, often: np.ndarray, k: int, num: int, den: int) -> np.ndarray:
-    """Bitmap of the prefix shingles that two texts or more have in their prefixes."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [_ordered(shingle_set(t, k), often, num, den) for t in common.utf8(batch.column("text"))]
-        h, n = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
-
-    counts = common.map_batches(docs.select("text"), work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return common.bitmap(counts.filter("n > 1"), "h", COMMON_BITS)
-
-
-def heads(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, text_hash, n (size of the set), key, and the prefix shingles that other texts share, with
-    a flag for those in the index prefix."""
-    often = common_shingles(docs, k)
-    shared = crowded(docs, often, k, num, den)
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, keys, firsts = [], [], []
-        for t in common.utf8(batch.column("text")):
-            s = shingle_set(t, k)
-            n = len(s)
-            sizes.append(n)
-            keys.append(_key(s) if n else None)
-            first = _ordered(s, often, num, den)
-            at = np.flatnonzero(common.in_bitmap(shared, first))
-            index = at < n - -(-2 * num * n // (num + den)) + 1
-            firsts.append([{"region": h, "index": i} for h, i in zip(first[at].view(np.int64).tolist(), index.tolist())])
-        kind = pa.list_(pa.struct([("region", pa.int64()), ("index", pa.bool_())]))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(firsts, kind)], names=["doc_id", "text_hash", "n", "key", "prefix"])
-
-    return common.map_batches(docs, work, "doc_id long, text_hash long, n long, key long, prefix array<struct<region:long,index:boolean>>")
-
-
-def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """key and packed hashes for each of the wanted (key, text_hash). They are made again from the
-    texts: storing the sets of all documents takes more room than the documents."""
-    bits = common.bitmap(wanted, "text_hash")
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = np.flatnonzero(common.in_bitmap(bits, batch.column("text_hash").to_numpy(zero_copy_only=False).view(np.uint64)))
-        found = {_key(s): s.tobytes() for s in (shingle_set(t, k) for t in common.utf8(batch.column("text").take(pa.array(at)))) if len(s)}
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["key", "hashes"])
-
-    made = common.map_batches(docs.filter("text is not null").select("text_hash", "text"), work, "key long, hashes binary")
-    return made.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes"))
-
-
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with n_a, n_b and the exact size of their intersection."""
-    # pairs are two integers: up to a stated number they go to the sets, else both are shuffled
-    few = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-    left = sets.withColumnsRenamed({"key": "a", "hashes": "set_a"}).join(few, "a")
-    right = sets.withColumnsRenamed({"key": "b", "hashes": "set_b"}).join(few, "b")
-    both = left.join(right, ["a", "b"]).select("a", "b", "set_a", "set_b")
-
-    def run(batches):
-        for batch in batches:
-            x, y = batch.column("set_a"), batch.column("set_b")
+                for a in range(0, part.num_rows, SEVERAL):
+                    yield one(part.slice(a, SEVERAL), number)
+                    number += 1
+
+    def one(part: pa.RecordBatch, number: int) -> pa.RecordBatch:
+        import xxhash
+
+        texts: dict[bytes, int] = {}
+        at = [None if t is None else texts.setdefault(t, len(texts)) for t in common.utf8(part.column("text"))]
+        h, first = common.slice_hashes(list(texts), lower=True)
+        s, text, _ = common.slice_shingles(h, first, k)
+        words = np.diff(first)
+        few = np.flatnonzero((words > 0) & (words < k))
+        s = np.concatenate([s, *(common.shingle_hashes(h[first[i] : first[i + 1]], int(words[i])) for i in few)])
+        text = np.concatenate([text, few])
+        entries = np.sort(s >> np.uint64(TEXT_BITS) << np.uint64(TEXT_BITS) | text.astype(np.uint64))
+        entries = entries[common.heads(entries)]
+        n = np.bincount((entries & np.uint64(SEVERAL)).astype(np.int64), minlength=len(texts))
+        keys = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) if n[i] else None for t, i in texts.items()]
+        begin = common.heads(entries >> np.uint64(TEXT_BITS))
+        count = np.diff(np.append(begin, len(entries)))
+        ask = entries[begin]
+        ask[count > 1] |= np.uint64(SEVERAL)
+        own = ask >> np.uint64(64 - bits)
+        cut = common.heads(own)
+        rows = pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), part.column("text_hash"), pa.array(at, pa.int32()), pa.array([0 if i is None else int(n[i]) for i in at], pa.int64()), pa.array([None if i is None else keys[i] for i in at], pa.binary())], schema=ROWS
+        )
+        several = np.ascontiguousarray(entries[np.repeat(count > 1, count)])
+        extra = pa.array([rows.serialize().to_pybytes(), several.tobytes()], pa.binary())
+        spread = 2 * (number * 31 % 4096)
+        parts = np.concatenate([own[cut].astype(np.int32), np.array([-1 - spread, -2 - spread], np.int32)])
+        data = pa.concat_arrays([common.pack(ask, np.append(cut, len(ask))), extra])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), number)), pa.array(parts), data], names=["slice", "part", "data"])
+
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(work, "slice long, part int, data binary")
+
+
+def answered(asks: DataFrame, bits: int) -> DataFrame:
+    """For each slice the shingles that occur again, with their frequency in the highest bits; other rows as they are."""
+
+    def work(batches):
+        for table in common.runs(batches, "part"):
+            part = table.column("part")[0].as_py()
+            if part < 0:
+                yield from table.combine_chunks().to_batches()
+                continue
+            ask, sizes = common.packed(table.column("data"))
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            hashes = ask >> np.uint64(TEXT_BITS)
+            order = np.argsort(hashes, kind="stable")
+            ask, of = ask[order], of[order]
+            begin = common.heads(hashes[order])
+            texts = np.add.reduceat(np.where(ask & np.uint64(SEVERAL) == SEVERAL, 2, 1), begin) if len(begin) else begin
+            again = np.repeat(texts > 1, np.diff(np.append(begin, len(ask))))
+            power = np.repeat(np.log2(np.maximum(1, texts)).astype(np.uint64), np.diff(np.append(begin, len(ask))))
+            reply = power << np.uint64(64 - bits) | ask & np.uint64((1 << 64 - bits) - 1)
+            reply, of = reply[again], of[again]
+            order = np.argsort(of, kind="stable")
+            reply, of = reply[order], of[order]
+            cut = common.heads(of)
+            if len(cut):
+                slices = table.column("slice").to_numpy()[of[cut]]
+                yield pa.RecordBatch.from_arrays([pa.array(slices), pa.array(np.full(len(cut), part, np.int32)), common.pack(reply, np.append(cut, len(reply)))], names=["slice", "part", "data"])
+
+    return asks.repartition("part").sortWithinPartitions("part").mapInArrow(work, "slice long, part int, data binary")
+
+
+def gathered(answers: DataFrame, bits: int, num: int, den: int) -> DataFrame:
+    """doc_id, text_hash, n (size of the set) and key for each row; and, once for the rows of a text in a slice, if it may link at
+    all: shared (its shared shingles, rarest first), how many of them are its prefix and its index prefix, and its score as a pivot."""
+    schema = "doc_id long, text_hash long, n long, key binary, shared array<long>, prefix int, index int, score long"
+
+    def work(batches):
+        for table in common.runs(batches, "slice"):
+            parts = table.column("part").to_numpy()
+            data = table.column("data")
+            rows = pa.ipc.read_record_batch(data[int(np.flatnonzero((parts < 0) & (parts % 2 == 1))[0])].as_buffer(), ROWS)
+            several, _ = common.packed(data.take(np.flatnonzero((parts < 0) & (parts % 2 == 0))))
+            asked_for = np.flatnonzero(parts >= 0)
+            reply, sizes = common.packed(data.take(asked_for))
+            low = np.uint64(64 - bits)
+            high = np.repeat(parts[asked_for].astype(np.uint64), sizes) << low
+            power = reply >> low
+            entry = high | reply & np.uint64((1 << 64 - bits) - 1)
+            hashes = entry >> np.uint64(TEXT_BITS)
+            name = power << np.uint64(HASH_BITS) | hashes
+            text = (entry & np.uint64(SEVERAL)).astype(np.int64)
+            one = text != SEVERAL
+            order = np.argsort(hashes[~one])
+            names = name[~one][order]
+            names = names[np.searchsorted(hashes[~one][order], several >> np.uint64(TEXT_BITS))] if len(several) else names[:0]
+            text = np.concatenate([text[one], (several & np.uint64(SEVERAL)).astype(np.int64)])
+            name = np.concatenate([name[one], names])
+            order = np.lexsort((name, text))
+            text, name = text[order], name[order]
+            at = rows.column("at").to_numpy(zero_copy_only=False)
+            n = rows.column("n").to_numpy()
             out = []
-            for p, q in zip(x, y):
-                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                out.append((len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
-            n_a, n_b, n = (pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), ())))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), n_a, n_b, n], names=["a", "b", "n_a", "n_b", "shared"])
+            seen = set()
+            edges = np.searchsorted(text, np.arange(int(text.max(initial=-1)) + 2))
+            sums = np.concatenate([[0], np.cumsum(name >> np.uint64(HASH_BITS), dtype=np.int64)])
+            for i, size in zip(at.tolist(), n.tolist()):
+                own = None
+                if size and i not in seen and i + 1 < len(edges):
+                    seen.add(i)
+                    a, b = int(edges[int(i)]), int(edges[int(i) + 1])
+                    alone = size - (b - a)
+                    prefix = size - -(-num * size // den) + 1 - alone
+                    if prefix > 0 and b > a:
+                        index = size - -(-2 * num * size // (num + den)) + 1 - alone
+                        own = (name[a:b].view(np.int64), prefix, max(0, index), int(1_000_000 * (sums[b] - sums[a]) // size))
+                out.append(own or (None, None, None, None))
+            shared, prefix, index, score = zip(*out)
+            columns = [*(rows.column(c) for c in ("doc_id", "text_hash", "n", "key")), pa.array(shared, pa.list_(pa.int64())), pa.array(prefix, pa.int32()), pa.array(index, pa.int32()), pa.array(score, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+
+    return answers.repartition("slice").sortWithinPartitions("slice").mapInArrow(work, schema)
+
+
+def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of a text and a pivot (x, score, p) with linked, and the regions that x goes into next from the pivot's cell."""
+    left = pairs.join(sets.select(F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("shared").alias("set_x")), "x")
+    both = left.join(sets.select(F.col("key").alias("p"), F.col("n").alias("n_p"), F.col("shared").alias("set_p")), "p")
+    a, b = den - num, den + num
+    width = RINGS * a
+
+    def regions(p: bytes, rings: list[int], names: np.ndarray) -> np.ndarray:
+        seed = np.frombuffer(p[:8], np.uint64)
+        return np.concatenate([common.mixed(common.mixed(names + seed) + np.uint64(r + 1)) for r in rings]).view(np.int64)
+
+    def one(p: bytes, n_x: int, x: np.ndarray, n_p: int, y: np.ndarray) -> tuple[bool, np.ndarray]:
+        at = np.searchsorted(y, x)
+        hit = y[np.minimum(at, len(y) - 1)] == x
+        both = int(hit.sum())
+        union, differ = n_x + n_p - both, n_x + n_p - 2 * both
+        linked = den * both >= num * union
+        # so many of its differences from the pivot has x to share with any text that it may link to, if one of the two doesn't link to the pivot
+        least = (b * differ + a * (n_p - n_x)) // (2 * b) + 1 if linked else max(1, -(-(num * differ - a * n_x) // num))
+        take = differ - max(1, least) + 1 - (n_x - len(x))
+        if take <= 0:
+            return linked, x[:0]
+        # those that few of the cell differ in come first: what is rare or what x alone lacks, then what the pivot lacks, and what it has alone
+        more = x[~hit]
+        often = more >> np.uint64(HASH_BITS) >= max(1, y[len(y) // 2] >> np.uint64(HASH_BITS)) - 1
+        missed = np.ones(len(y), bool)
+        missed[at[hit]] = False
+        names = np.concatenate([more[~often], y[missed], more[often], np.arange(n_p - len(y), dtype=np.uint64)])[:take]
+        # distance times den, over union; a ring is width / den wide
+        ring = den * (union - both) // (width * union)
+        near = den * (union - both) + a * union >= width * (ring + 1) * union
+        return linked, regions(p, [ring, ring + 1] if near else [ring], names)
+
+    def work(batches):
+        for batch in batches:
+            linked, found = [], []
+            sets = [(c.offsets.to_numpy(), c.values.to_numpy().view(np.uint64)) for c in (batch.column("set_x"), batch.column("set_p"))]
+            (u, xs), (v, ys) = sets
+            for i, (p, n_x, n_p) in enumerate(zip(batch.column("p").to_pylist(), batch.column("n_x").to_pylist(), batch.column("n_p").to_pylist())):
+                is_link, names = one(p, n_x, xs[u[i] : u[i + 1]], n_p, ys[v[i] : v[i + 1]])
+                linked.append(is_link)
+                found.append(names)
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("score"), batch.column("p"), pa.array(linked, pa.bool_()), pa.array(found, pa.list_(pa.int64()))], names=["x", "score", "p", "linked", "regions"])
 
-    return both.mapInArrow(run, DISTANCES)
+    return both.mapInArrow(work, "x binary, score long, p binary, linked boolean, regions array<long>")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -194,68 +256,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         last = seen.get
 
 
-def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """node and label: the components of all links between keys, but for the labels themselves."""
-    member = rows.select("key", "n", F.explode("prefix").alias("p")).select("p.region", "key", "n", "p.index")
-    member = member.groupBy("region", "key").agg(F.first("n").alias("n"), F.max("index").alias("index"))
-    region = member.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.max("index").alias("any")).filter("m > 1 and any")
-    shared = member.join(region.select("region"), "region", "left_semi")
-    # length window: a member stays if the next smaller or next larger set of its region may link to it
-    by_size = Window.partitionBy("region").orderBy("n", "key")
-    fits = (F.lag("n").over(by_size) * den >= F.col("n") * num) | (F.col("n") * den >= F.lead("n").over(by_size) * num)
-    sized = common.stored(shared.withColumn("fits", fits).filter("fits").drop("fits"), "members")
-    # near copies share many shingles: regions with the same members are one
-    marks = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    same = sized.groupBy("region").agg(F.count(F.lit(1)).alias("m"), *marks)
-    one = same.groupBy("m", "x1", "x2").agg(F.min("region").alias("one"))
-    named = common.stored(same.join(one, ["m", "x1", "x2"]).select("region", "one"), "names")
-    merged = sized.join(named, "region").groupBy("one", "key").agg(F.first("n").alias("n"), F.max("index").alias("index"))
-    regions = common.stored(merged.withColumnRenamed("one", "region"), "regions")
-    wanted = rows.select("key", "text_hash").join(regions.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("text_hash").alias("text_hash"))
-    sets = common.stored(shingle_sets(docs, wanted, k), "sets")
-    regions = regions.withColumn("label", F.col("key"))
-    least = regions.filter("index").groupBy("region").agg(F.min(F.struct("key", "n")).alias("p"))
-    pivots = common.stored(least.select("region", F.col("p.key").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.key").alias("label_p"), F.lit(1).alias("turn")), "pivots")
-    distances = common.scratch(docs.sparkSession, "distances")
-    union = F.col("n_a") + F.col("n_b") - F.col("shared")
-    known, turns = None, 1
-    labels = docs.sparkSession.createDataFrame([], "node long, label long")
-    while not pivots.isEmpty():
-        # members of the pivot's own component, or out of the length window, need no comparison
-        asked = regions.join(pivots, "region").filter((F.col("label") != F.col("label_p")) & (F.least("n", "n_p") * den >= F.greatest("n", "n_p") * num))
-        pairs = asked.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
+def links(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a and b: links that connect all texts (key, n, shared, prefix, index, score) as all pairs of sufficient similarity would."""
+    spark = sets.sparkSession
+    first = sets.select("key", "score", "index", F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("place", "region"))
+    members = first.select("region", F.col("key").alias("x"), "score", (F.col("place") < F.col("index")).alias("need"))
+    found = common.scratch(spark, "distances")
+    turn = 0
+    while True:
+        pivots = members.groupBy("region").agg(F.max(F.struct("score", "x")).alias("p"), F.max("need").alias("need"), F.min("x").alias("least"), F.max("x").alias("most"))
+        pivots = pivots.filter("need and least <> most").select("region", F.col("p.x").alias("p"))
+        pairs = members.join(pivots, "region").filter("x <> p").groupBy("x", "p").agg(F.first("score").alias("score"))
         seen = Observation()
-        with common.batches_of(docs.sparkSession, BATCH):
-            found = measured(common.stored(pairs, "pairs"), sets)
-            found.observe(seen, F.count(F.when(F.col("shared") * den >= union * num, 1)).alias("n")).write.parquet(f"{distances}/{turns}")
-        known = docs.sparkSession.read.schema(DISTANCES).parquet(f"{distances}/*")
-        if seen.get["n"]:
-            new = docs.sparkSession.read.schema(DISTANCES).parquet(f"{distances}/{turns}").filter(F.col("shared") * den >= union * num)
-            labels = components(new.select("a", "b").union(labels))
-        named = regions.drop("label").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        mixed = named.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("region")
-        open_ = common.stored(named.join(mixed, "region", "left_semi"), "open")
-        near = known.select(F.col("a").alias("key"), F.col("b").alias("pivot"), (F.col("shared") / union).alias("sim"))
-        near = near.unionByName(near.select(F.col("pivot").alias("key"), F.col("key").alias("pivot"), "sim"))
-        # the windows of the round's first pivot; the ratio of sizes bounds the similarity of an uncompared pair
-        seen = open_.join(pivots.filter("turn = 1"), "region").filter("key <> pivot").join(near, ["key", "pivot"], "left")
-        seen = common.stored(seen.select("region", "pivot", "key", "label", "sim", F.coalesce("sim", F.least("n", "n_p") / F.greatest("n", "n_p")).alias("high")), "seen")
-        cells = seen.groupBy("region", "pivot", "label").agg(F.max("high").alias("high"))
-        top = cells.groupBy("region", "pivot").agg(F.max(F.struct("high", "label")).alias("top"))
-        beyond = cells.join(top, ["region", "pivot"]).filter(F.col("label") != F.col("top.label")).groupBy("region", "pivot").agg(F.max("high").alias("second"), F.first("top.label").alias("label"))
-        behind = seen.join(beyond, ["region", "pivot", "label"]).filter(F.col("sim") - F.col("second") > 1 - num / den + 1e-9).select("region", "key")
-        left = open_.join(behind.union(pivots.select("region", "pivot")).distinct(), ["region", "key"], "left_anti")
-        alive = left.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("index").alias("any")).filter("x <> y and any").select("region")
-        regions = common.stored(left.join(alive, "region", "left_semi"), "regions")
-        groups = regions.groupBy("region", "label").agg(F.count(F.lit(1)).alias("m"))
-        largest = groups.groupBy("region").agg(F.max(F.struct("m", "label")).alias("largest"))
-        small = regions.join(groups, ["region", "label"]).join(largest, "region").filter(F.col("label") != F.col("largest.label"))
-        turn = F.row_number().over(Window.partitionBy("region").orderBy("m", "label", "key"))
-        chosen = small.withColumn("turn", turn).filter(F.col("turn") <= 4**turns)
-        pivots, turns = common.stored(chosen.select("region", F.col("key").alias("pivot"), F.col("n").alias("n_p"), F.col("label").alias("label_p"), "turn"), "pivots"), turns + 1
-    return labels
+        compared(pairs, sets, num, den).observe(seen, F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("linked"), 1)).alias("open")).write.parquet(f"{found}/turn={turn}")
+        if not seen.get["open"]:
+            break
+        here = spark.read.parquet(f"{found}/turn={turn}")
+        cells = here.filter("not linked").select("p").distinct()
+        members = here.join(cells, "p", "left_semi").select(F.explode("regions").alias("region"), "x", "score", (~F.col("linked")).alias("need"))
+        turn += 1
+    return spark.read.schema("x binary, p binary, linked boolean").parquet(f"{found}/turn=*").filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
@@ -263,26 +283,30 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     tells components apart even if ids repeat; null for the empty set), one row a row of docs."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
-    rows = common.stored(heads(docs, k, num, den), "heads")
-    labels = links(docs, rows, k, num, den)
+    bits = max(PARTS_BITS, (4 * common.partitions(docs.sparkSession) - 1).bit_length())
+    rows = common.stored(gathered(answered(asked(docs, k, bits), bits), bits, num, den), "shingles")
+    one = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "shared", "prefix", "index", "score")]
+    sets = common.stored(rows.filter("shared is not null").groupBy("key").agg(*one), "sets")
+    labels = components(links(sets, num, den))
     classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"))
     classes = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     roots = classes.join(labels.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.min("id").alias("root"))
     classes = classes.join(roots, "label", "left").select("key", F.coalesce("root", "id").alias("id"), "label")
-    own = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("long").alias("component"))
+    own = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("binary").alias("component"))
     full = rows.filter("n > 0").join(classes, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), "text_hash", F.col("label").alias("component"))
     return full.unionByName(own)
 
 
 def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each component: the row of the least id (null ids last), then of the least text.
+    """One document of each component: the row of the least id (null ids last), then of the least text hash.
 
-    Texts without words are all kept. Of rows with the same id and text, one stays.
+    Texts without words are all kept. Of rows with the same id and text, one stays. All columns come back.
     """
     found = join(docs, doc_id, text, **options).filter("component is not null")
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f"))
-    chosen = first.select(F.col("f.doc_id").alias("__id"), F.col("f.text_hash").alias("__hash"))
+    mark = "_".join(["row", *docs.columns])
+    chosen = first.select(F.xxhash64("f.doc_id", "f.text_hash").alias(mark))
     blank = F.coalesce(~docs[text].rlike("[^\\x20\\x09-\\x0D]"), F.lit(True))
-    worded = docs.filter(~blank)
-    good = worded.join(chosen, worded[doc_id].cast("long").eqNullSafe(chosen["__id"]) & (F.xxhash64(worded[text]) == chosen["__hash"]), "left_semi")
-    return good.dropDuplicates([doc_id, text]).unionByName(docs.filter(blank))
+    worded = docs.filter(~blank).withColumn(mark, F.xxhash64(docs[doc_id].cast("long"), F.xxhash64(docs[text].cast("string"))))
+    good = worded.join(chosen, mark, "left_semi").dropDuplicates([mark]).drop(mark)
+    return good.unionByName(docs.filter(blank))

@@ -66,9 +66,8 @@ def test_empty(spark):
 
 
 @pytest.mark.parametrize("seed", [1])
-def test_chains_and_hubs(spark, seed, monkeypatch):
+def test_chains_and_hubs(spark, seed):
     """Chains of edits, a large group of near copies, and texts that are mostly one common passage."""
-    monkeypatch.setattr(J, "COMMON", 6)
     rng = random.Random(seed)
     rows = []
     for _ in range(12):
@@ -92,6 +91,42 @@ def test_chains_and_hubs(spark, seed, monkeypatch):
     check(spark, [(i * 3, " ".join(w)) for i, w in enumerate(rows)])
 
 
+def test_words_of_two_letters_in_thue_morse_order(spark):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    check(spark, [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)])
+
+
+def test_one_passage_in_many_unlinked_texts(spark, monkeypatch):
+    """Texts that share a passage and nothing else cost far fewer distances than all pairs."""
+    rng = random.Random(8)
+    passage = words(rng, 45)
+    rows = [(i, " ".join(passage + words(rng, 14, 10**9))) for i in range(400)]
+    edited = []
+    for i in range(300):
+        w = list(passage) + words(random.Random(1), 55)
+        for _ in range(rng.choice([1, 1, 4, 5])):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**9)}"
+        edited.append((1000 + i, " ".join(w)))
+    paths, scratch = [], J.common.scratch
+    monkeypatch.setattr(J.common, "scratch", lambda s, name: paths.append(scratch(s, name)) or paths[-1])
+    check(spark, rows + edited)
+    (distances,) = [p for p in paths if "/distances-" in p]
+    made = spark.read.parquet(distances)
+    assert made.agg({"turn": "max"}).first()[0] < 16
+    made = made.count()
+    assert made < 20 * len(rows + edited)
+
+
+def test_long_text_and_clashing_columns(spark):
+    rng = random.Random(2)
+    long = words(rng, 60_000, 10**6)
+    near = [w if i % 400 else "new" for i, w in enumerate(long)]
+    rows = [(1, " ".join(long), 1, 2), (2, " ".join(near), 1, 2), (3, "w " * 9000, 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shared int, row_doc_id_text int").withColumnRenamed("row_doc_id_text", "text_hash")
+    assert sorted(tuple(r)[:3] for r in J.join(df).collect()) == brute([r[:2] for r in rows])
+    assert sorted(r.doc_id for r in J.keep(df).collect()) == [1, 3] and J.keep(df).columns == df.columns
+
+
 def test_tables(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     check(spark, rows)
