@@ -16,10 +16,11 @@ n - ceil(2 t / (1 + t) n) + 1 (its index prefix). The order is by how many texts
 4. Triangle windows. In the other cells members are parted in rings around the pivot, RINGS * (1 - t) wide; a member no
    farther than 1 - t from the next ring is replicated to it. Two sets also differ from each other by what only one of them
    has of their differences from the pivot, which bounds from below how many of these differences a link must share. A prefix of
-   them, rarest first, names the regions of the next round. Members that both link to the pivot need no such region.
-5. These regions are joined in the same way, each around a pivot of its own. A pivot is never in the regions that come out of its
-   cell, and all of their members come after it in the order by which pivots are taken, so this ends, and any two texts that
-   link meet in some cell where one is the pivot, or both link to it.
+   them, rarest first, names the regions of the next round: one kind for members that do not link to the pivot, one for those with the
+   members that do. Members that both link to the pivot need no such region.
+5. These regions are joined in the same way, each around a pivot of its own, or if they have LEAF members at most, member by
+   member. A pivot is never in the regions that come out of its cell, and all of their members come after it in the order by which
+   pivots are taken, so this ends, and any two texts that link meet in a cell where one is the pivot, or in a leaf, or both link to a pivot.
 
 Near copies of one text cost one distance each. Links are put together to components over stored tables; only
 row counts reach the driver. No join has a cap.
@@ -46,6 +47,8 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 80, 100
 #: Width of a ring around a pivot, in links.
 RINGS = 2
+#: Regions of the second round and later are not split further if they have so many members.
+LEAF = 256
 #: Low bits of a hash that give way to a text's number in its slice; the last number stands for several texts.
 TEXT_BITS = 13
 SEVERAL = (1 << TEXT_BITS) - 1
@@ -186,50 +189,58 @@ def gathered(answers: DataFrame, bits: int, num: int, den: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs of a text and a pivot (x, score, p) with linked, and the regions that x goes into next from the pivot's cell."""
+    """The pairs of a text and a pivot (x, score, p, leaf) with linked, and the regions that x goes into next from the pivot's cell:
+    open ones for texts that don't link to it, mixed ones for both. Pairs of a leaf have none."""
     left = pairs.join(sets.select(F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("shared").alias("set_x")), "x")
     both = left.join(sets.select(F.col("key").alias("p"), F.col("n").alias("n_p"), F.col("shared").alias("set_p")), "p")
     a, b = den - num, den + num
     width = RINGS * a
 
-    def regions(p: bytes, rings: list[int], names: np.ndarray) -> np.ndarray:
+    def regions(p: bytes, kind: int, rings: list[int], names: np.ndarray) -> list[np.ndarray]:
         seed = np.frombuffer(p[:8], np.uint64)
-        return np.concatenate([common.mixed(common.mixed(names + seed) + np.uint64(r + 1)) for r in rings]).view(np.int64)
+        return [common.mixed(common.mixed(names + seed) + np.uint64(2 * r + kind + 1)).view(np.int64) for r in rings]
 
-    def one(p: bytes, n_x: int, x: np.ndarray, n_p: int, y: np.ndarray) -> tuple[bool, np.ndarray]:
+    def one(p: bytes, leaf: bool, n_x: int, x: np.ndarray, n_p: int, y: np.ndarray) -> tuple[bool, np.ndarray, np.ndarray]:
         at = np.searchsorted(y, x)
         hit = y[np.minimum(at, len(y) - 1)] == x
         both = int(hit.sum())
         union, differ = n_x + n_p - both, n_x + n_p - 2 * both
         linked = den * both >= num * union
-        # so many of its differences from the pivot has x to share with any text that it may link to, if one of the two doesn't link to the pivot
-        least = (b * differ + a * (n_p - n_x)) // (2 * b) + 1 if linked else max(1, -(-(num * differ - a * n_x) // num))
-        take = differ - max(1, least) + 1 - (n_x - len(x))
-        if take <= 0:
-            return linked, x[:0]
+        none = np.zeros(0, np.int64)
+        if leaf:
+            return linked, none, none
+        # how many of its differences from the pivot x shares at least with a text that it links to: one that does not link to the pivot, or one that does
+        apart = max(1, (b * differ + a * (n_p - n_x)) // (2 * b) + 1)
+        joined = max(1, -(-(b * num * differ - a * (num * n_x + den * min(n_x, n_p))) // (b * num)))
+        alone = n_x - len(x)
+        take = [differ - least + 1 - alone for least in ([apart] if linked else [apart, joined])]
+        if max(take) <= 0:
+            return linked, none, none
         # those that few of the cell differ in come first: what is rare or what x alone lacks, then what the pivot lacks, and what it has alone
         more = x[~hit]
         often = more >> np.uint64(HASH_BITS) >= max(1, y[len(y) // 2] >> np.uint64(HASH_BITS)) - 1
         missed = np.ones(len(y), bool)
         missed[at[hit]] = False
-        names = np.concatenate([more[~often], y[missed], more[often], np.arange(n_p - len(y), dtype=np.uint64)])[:take]
+        names = np.concatenate([more[~often], y[missed], more[often], np.arange(n_p - len(y), dtype=np.uint64)])
         # distance times den, over union; a ring is width / den wide
         ring = den * (union - both) // (width * union)
         near = den * (union - both) + a * union >= width * (ring + 1) * union
-        return linked, regions(p, [ring, ring + 1] if near else [ring], names)
+        rings = [ring, ring + 1] if near else [ring]
+        first, last = names[: max(0, take[0])], names[: max(0, take[-1])]
+        return linked, np.concatenate([none] if linked else regions(p, 0, rings, first)), np.concatenate(regions(p, 1, rings, last))
 
     def work(batches):
         for batch in batches:
-            linked, found = [], []
+            found = []
             sets = [(c.offsets.to_numpy(), c.values.to_numpy().view(np.uint64)) for c in (batch.column("set_x"), batch.column("set_p"))]
             (u, xs), (v, ys) = sets
-            for i, (p, n_x, n_p) in enumerate(zip(batch.column("p").to_pylist(), batch.column("n_x").to_pylist(), batch.column("n_p").to_pylist())):
-                is_link, names = one(p, n_x, xs[u[i] : u[i + 1]], n_p, ys[v[i] : v[i + 1]])
-                linked.append(is_link)
-                found.append(names)
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("score"), batch.column("p"), pa.array(linked, pa.bool_()), pa.array(found, pa.list_(pa.int64()))], names=["x", "score", "p", "linked", "regions"])
+            for i, (p, leaf, n_x, n_p) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("p", "leaf", "n_x", "n_p")))):
+                found.append(one(p, leaf, n_x, xs[u[i] : u[i + 1]], n_p, ys[v[i] : v[i + 1]]))
+            linked, open_, mixed = zip(*found) if found else ((), (), ())
+            columns = [pa.array(linked, pa.bool_()), pa.array(open_, pa.list_(pa.int64())), pa.array(mixed, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("x", "score", "p", "leaf")), *columns], names=["x", "score", "p", "leaf", "linked", "open", "mixed"])
 
-    return both.mapInArrow(work, "x binary, score long, p binary, linked boolean, regions array<long>")
+    return both.mapInArrow(work, "x binary, score long, p binary, leaf boolean, linked boolean, open array<long>, mixed array<long>")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -260,20 +271,28 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """a and b: links that connect all texts (key, n, shared, prefix, index, score) as all pairs of sufficient similarity would."""
     spark = sets.sparkSession
     first = sets.select("key", "score", "index", F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("place", "region"))
-    members = first.select("region", F.col("key").alias("x"), "score", (F.col("place") < F.col("index")).alias("need"))
+    # side: what makes a region worth a look; it needs a member with it, and a mixed one also a member without it
+    members = first.select("region", F.col("key").alias("x"), "score", (F.col("place") < F.col("index")).alias("side"), F.lit(False).alias("mixed"))
     found = common.scratch(spark, "distances")
     turn = 0
     while True:
-        pivots = members.groupBy("region").agg(F.max(F.struct("score", "x")).alias("p"), F.max("need").alias("need"), F.min("x").alias("least"), F.max("x").alias("most"))
-        pivots = pivots.filter("need and least <> most").select("region", F.col("p.x").alias("p"))
-        pairs = members.join(pivots, "region").filter("x <> p").groupBy("x", "p").agg(F.first("score").alias("score"))
+        regions = members.groupBy("region").agg(F.max(F.struct("score", "x")).alias("p"), F.max("side").alias("some"), F.min("side").alias("all"), F.max("mixed").alias("mixed"), F.count(F.lit(1)).alias("m"), F.min("x").alias("least"), F.max("x").alias("most"))
+        regions = regions.filter("some and least <> most and not (mixed and all)").select("region", F.col("p.x").alias("p"), "m")
+        pairs = members.join(regions.filter(F.col("m") > (LEAF if turn else 0)), "region").filter("x <> p").groupBy("x", "p").agg(F.first("score").alias("score"), F.lit(False).alias("leaf"))
+        if turn:
+            leaves = members.join(regions.filter(F.col("m") <= LEAF).select("region"), "region")
+            other = leaves.select("region", F.col("x").alias("p"), F.col("side").alias("other"))
+            met = leaves.join(other, "region").filter("x < p and not (mixed and side = other)").select("x", "p", "score")
+            pairs = pairs.unionByName(met.groupBy("x", "p").agg(F.first("score").alias("score"), F.lit(True).alias("leaf")))
         seen = Observation()
-        compared(pairs, sets, num, den).observe(seen, F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("linked"), 1)).alias("open")).write.parquet(f"{found}/turn={turn}")
-        if not seen.get["open"]:
+        here = compared(pairs, sets, num, den).observe(seen, F.count(F.when(~F.col("linked") & ~F.col("leaf"), 1)).alias("n"))
+        here.write.parquet(f"{found}/turn={turn}")
+        if not seen.get["n"]:
             break
-        here = spark.read.parquet(f"{found}/turn={turn}")
-        cells = here.filter("not linked").select("p").distinct()
-        members = here.join(cells, "p", "left_semi").select(F.explode("regions").alias("region"), "x", "score", (~F.col("linked")).alias("need"))
+        here = spark.read.parquet(f"{found}/turn={turn}").filter("not leaf")
+        cells = here.join(here.filter("not linked").select("p").distinct(), "p", "left_semi").select("x", "score", (~F.col("linked")).alias("side"), "open", "mixed")
+        members = cells.select(F.explode("open").alias("region"), "x", "score", "side", F.lit(False).alias("mixed"))
+        members = members.unionByName(cells.select(F.explode("mixed").alias("region"), "x", "score", "side", F.lit(True).alias("mixed")))
         turn += 1
     return spark.read.schema("x binary, p binary, linked boolean").parquet(f"{found}/turn=*").filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
 

@@ -65,9 +65,10 @@ def test_empty(spark):
     check(spark, [])
 
 
-@pytest.mark.parametrize("seed", [1])
-def test_chains_and_hubs(spark, seed):
+@pytest.mark.parametrize(("seed", "leaf"), [(1, 4), (2, 256)])
+def test_chains_and_hubs(spark, seed, leaf, monkeypatch):
     """Chains of edits, a large group of near copies, and texts that are mostly one common passage."""
+    monkeypatch.setattr(J, "LEAF", leaf)
     rng = random.Random(seed)
     rows = []
     for _ in range(12):
