@@ -73,10 +73,10 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that no slice holds much more than SLICE_BYTES of the column (or one row)."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that no slice holds much more than `most` bytes of the column (or one row)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    cut = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+    cut = np.cumsum(sizes, dtype=np.int64) // most
     edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:]):
         if b > a:

@@ -1,33 +1,28 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over words (runs of anything but ASCII white space; each kana, Han or Hangul character by itself), of
-order WORD_ORDER, keyed by 64-bit hashes: there is no fixed alphabet and no bound on its size. All trusted documents are counted.
-
-* Tasks count n-grams of each order; the counts are added up by a shuffle. Continuation counts of the lower orders, the
-  counts of counts for the discounts and the totals of contexts are further aggregations; joins give each gram's
-  probability and each context's back-off weight. All of these stay tables, sharded by hash.
-* Below single words there is a spelling model: Kneser-Ney over characters in CLASSES classes, of order ORDER, and over the characters of
-  each class. It tells the probability of a word's letters only, for words not seen before; it has CLASSES ** ORDER numbers at most and goes to the tasks.
-* The log-probability of a document is a sum over its n-grams: the spelling of each word, the weight of each known
-  context, and for each known gram what it adds to the next shorter one. A slice of documents asks once for each
-  distinct gram, by a join with the table; grams that a bitmap of fixed size rules out are not asked for.
-* A trusted document is scored without the grams that only itself has, so that thresholds hold for documents that
-  were not counted.
-* Perplexity is per character of the words and one blank after each.
-* The threshold of a language is the QUANTILE of its trusted documents' perplexities. Documents of a language
-  without trusted ones, or of none, use the quantile over all trusted documents.
-
-Null, empty and blank texts have no perplexity and are not kept. With nothing trusted there is no model: nothing has
-a perplexity and nothing is kept. Repeated rows and null ids each give their own row; a document
-is trusted if any label of its id says so, and null ids are never trusted.
+The model is over characters as they are written (UTF-16 units, so every script has its own; a character beyond the
+first 65536 is two units), of order ORDER. Four units are one 64-bit integer: there is no alphabet and no class to set.
+
+* Counts: slices of trusted text count their n-grams, and a shuffle adds them up. Of trusted documents, one in HELD (by a hash of the
+  id) is left out of the counts.
+* Model: continuation counts of the lower orders, the counts of counts for the discounts and the totals of contexts are
+  aggregations of that table, and all of them stay tables, sharded by n-gram.
+* Probabilities: the distinct n-grams of all documents are joined with these tables, order by order.
+* Documents: each slice of texts asks once for each of its distinct n-grams, however many of its documents have it; tasks answer a
+  part of the range of n-grams each, and the answers meet the slice again (its texts travel compressed), which adds them up for each document.
+  What is gathered and sent grows with the input; nothing of it goes to the driver, and no n-gram is hot, as a slice asks once.
+* Perplexity is per unit of the text. The threshold of a language is the QUANTILE of the perplexities of its trusted
+  documents that were held out from the counts. Documents of a language without such, or of none, use the quantile over
+  all that were held out; if none was, trusted documents that were counted stand in.
+
+Null, empty and blank texts have no perplexity and are not kept. With nothing to count there is no model: nothing has
+a perplexity and nothing is kept; an empty table gives no rows. Repeated rows and null ids each give their own row, and a document
+is trusted if any label of its id says so; null ids are never trusted. Texts of any length are taken whole, in one task.
+Ties with a threshold are kept. Of the table only the three columns named are read, so others may have any name.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,76 +31,64 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 
 ORDER, QUANTILE = 4, 0.995
-#: Characters with a class of their own, in this order after the mark for the text's start (class 0).
-OWN = "abcdefghijklmnopqrstuvwxyz \n.,!|éèêçàäöüßñíóú"
-#: Then capitals, digits, other blanks, other ASCII signs, other letters, anything else.
-CLASSES = len(OWN) + 7
-WORD_ORDER = 3
-BITS = 26
-#: Scripts without blanks between words: each character is a word.
-ALONE = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\U00020000-\U0003134f]")
-#: Stands for the words before a text's first.
-START = np.uint64(0x5851F42D4C957F2D)
-BROADCAST_IDS = 4_000_000
-SCHEMA = "doc_id long, lang string, n_chars long, perplexity double"
-
-
-@cache
-def class_of() -> np.ndarray:
-    out = np.full(0x110000, CLASSES - 1, np.uint8)
-    for i in range(0x110000):
-        c = chr(i)
-        if c in OWN:
-            out[i] = OWN.index(c) + 1
-        elif c.isupper():
-            out[i] = len(OWN) + 1
-        elif c.isdigit():
-            out[i] = len(OWN) + 2
-        elif c.isspace():
-            out[i] = len(OWN) + 3
-        elif i < 128:
-            out[i] = len(OWN) + 4
-        elif c.isalpha():
-            out[i] = len(OWN) + 5
-    return out
-
-
-@cache
-def within() -> np.ndarray:
-    """Log-probability of each character in its class; those of longer UTF-8 are less likely."""
-    i = np.arange(0x110000)
-    p = 256.0 ** -((i >= 0x80).astype(int) + (i >= 0x800) + (i >= 0x10000))
-    return np.log(p / np.bincount(class_of(), p)[class_of()]).astype(np.float32)
-
-
-def codes(text: str | None) -> np.ndarray:
-    """The 4-gram that ends at each character, as one integer."""
-    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.concatenate([np.zeros(ORDER - 1, np.int64), class_of()[points].astype(np.int64)])
-    n = len(points)
-    out = np.zeros(n, np.int64)
+UNIT = 16
+#: Stands for the characters before a text's first; no character is this one.
+START = "￿"
+#: One trusted document in so many serves for thresholds.
+HELD = 4
+#: At least so many parts of the range of hashes, each answered by itself.
+PARTS_BITS = 8
+#: Texts of a slice, and its compression on the way.
+SLICE_BYTES, LEVEL = 16 << 20, 3
+#: Ids and thresholds up to so many rows (of 8 and some 30 bytes) may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+META = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("held", pa.bool_())])
+
+
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that end at each unit of all texts, one after the other, and how many each text has."""
+    texts = [t or "" for t in texts]
+    sizes = np.array([len(t.encode("utf-16-le", "surrogatepass")) // 2 if not t.isascii() else len(t) for t in texts], np.int64)
+    pad = START * (ORDER - 1)
+    units = np.frombuffer((pad + pad.join(texts)).encode("utf-16-le", "surrogatepass"), "<u2")
+    begins = np.concatenate([[0], np.cumsum(sizes + ORDER - 1)])[: len(sizes)]
+    at = np.arange(int(sizes.sum())) + np.repeat(begins - np.concatenate([[0], np.cumsum(sizes)])[: len(sizes)], sizes)
+    out = np.zeros(len(at), np.uint64)
     for i in range(ORDER):
-        out = out * CLASSES + c[i : i + n]
-    return out
+        out = out << np.uint64(UNIT) | units[at + i].astype(np.uint64)
+    return out, sizes
+
+
+def distinct(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams, and which of them each one is."""
+    if not len(gram):
+        return gram, np.zeros(0, np.int64)
+    found = pa.array(gram).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
     """gram and n over all texts of docs."""
 
-    def run(batches):
-        total = np.zeros(CLASSES**ORDER, np.int64)
-        for batch in batches:
-            for part in common.slices(batch, "text"):
-                found = [codes(t) for t in part.column("text").to_pylist()]
-                total += np.bincount(np.concatenate(found), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, which = distinct(grams(batch.column("text").to_pylist())[0])
+        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.bincount(which, minlength=len(names)).astype(np.int64))], names=["gram", "n"])
+
+    return common.map_batches(docs.select("text"), work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
 
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def tail(gram: str, order: int):
+    """The last `order` units of an n-gram."""
+    return F.col(gram) if order >= ORDER else F.col(gram).bitwiseAND(F.lit((1 << UNIT * order) - 1))
 
 
-def order_tables(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """(gram, p) with the discounted probability of each seen gram, and (context, weight) for backing off.
+def context(gram: str):
+    """All but the last unit of an n-gram."""
+    return F.shiftrightunsigned(gram, UNIT)
+
+
+def order_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gram, own): the discounted probability of each seen gram, and (context, weight) for backing off.
 
     counts has gram and n: occurrences at the highest order, continuation counts below.
     """
@@ -113,230 +96,165 @@ def order_tables(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
     y = c[0] / max(1, c[0] + 2 * c[1])
     # with too few counts of counts, a discount stays between 0 and its own count
     d1, d2, d3 = (min(i, max(0.1 * i, i - (i + 1) * y * c[i] / c[i - 1])) if c[i - 1] else 0.5 * i for i in (1, 2, 3))
-    held = counts.withColumn("context", F.floor(F.col("gram") / CLASSES).cast("long")).withColumn(
-        "d", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-    )
+    held = counts.withColumn("context", context("gram")).withColumn("d", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
     contexts = held.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("freed"))
-    grams = held.join(contexts, "context").select("gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"))
-    return grams, contexts.select("context", (F.col("freed") / F.col("total")).alias("weight"))
-
-
-class Model:
-    """log P of every 4-gram, as one array of CLASSES ** 4 numbers."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        p = np.full(CLASSES, 1.0 / CLASSES)
-        for order, (gram, prob, context, weight) in enumerate(tables, 1):
-            gamma = np.ones(CLASSES ** (order - 1))
-            gamma[context] = weight
-            lower = np.tile(p, CLASSES) if order > 1 else p
-            p = (gamma[:, None] * lower.reshape(CLASSES ** (order - 1), CLASSES)).ravel() if order > 1 else gamma[0] * lower
-            np.add.at(p, gram, prob)
-        self.logs = np.log(p).astype(np.float32)
+    own = held.join(contexts, "context").select("gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"))
+    return own, contexts.select("context", (F.col("freed") / F.col("total")).alias("weight"))
 
-    def perplexity(self, text: str | None) -> float | None:
-        c = codes(text)
-        return math.exp(-float(self.logs[c].sum(dtype=np.float64)) / len(c)) if len(c) else None
 
-
-def train(trusted: DataFrame) -> Model | None:
-    """The model of the texts of trusted, or None without any character."""
+def train(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]] | None:
+    """The tables of each order, the lowest first, or None without any character."""
     counts = common.stored(gram_counts(trusted), "grams")
     if counts.isEmpty():
         return None
-    levels = {ORDER: counts}
+    levels = [counts]
     for order in range(ORDER - 1, 0, -1):
         # continuation count: in how many longer grams it is the end
-        levels[order] = levels[order + 1].groupBy((F.col("gram") % CLASSES**order).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    tables = []
-    for order in range(1, ORDER + 1):
-        grams, contexts = order_tables(levels[order], order)
-        g, c = grams.toArrow(), contexts.toArrow()
-        tables.append((g.column(0).to_numpy(), g.column(1).to_numpy(), c.column(0).to_numpy(), c.column(1).to_numpy()))
-    return Model(tables)
-
-
-def words_of(text: str | None) -> bytes:
-    """The words of a text with one blank after each."""
-    raw = (text or "").encode("utf-8", "replace")
-    if text and not text.isascii() and ALONE.search(text):
-        raw = ALONE.sub(r" \g<0> ", text).encode("utf-8", "replace")
-    words = raw.split()
-    return b" ".join(words) + b" " if words else b""
-
-
-def grams(words: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Keys of the n-grams of each order that end at each word, and of their contexts (none for order 1)."""
-    seq = np.concatenate([np.full(WORD_ORDER - 1, START), common.text_hashes(words)])
-    runs = [common.shingle_hashes(seq, k) for k in range(1, WORD_ORDER + 1)]
-    found = [r[WORD_ORDER - k :] for k, r in enumerate(runs, 1)]
-    return found, [r[WORD_ORDER - 1 - k : -1] for k, r in enumerate(runs[:-1], 1)]
-
-
-def spelling(words: bytes, logs: np.ndarray) -> np.ndarray:
-    """Log-probability of the letters of each word and the blank after it, each word from its own start."""
-    points = np.frombuffer(words.decode().encode("utf-32-le"), np.uint32)
-    c = class_of()[points].astype(np.int64)
-    ends = np.flatnonzero(points == 32)
-    begin = np.append(0, ends[:-1] + 1)
-    inside = np.arange(len(c)) - np.repeat(begin, np.diff(np.append(begin, len(c))))
-    code = c.copy()
-    for i in range(1, ORDER):
-        code[i:] += np.where(inside[i:] >= i, c[:-i], 0) * CLASSES**i
-    return np.add.reduceat(logs[code].astype(np.float64) + within()[points], begin)
-
-
-def word_counts(trusted: DataFrame, spell: Model) -> DataFrame:
-    """Each n-gram's key h, order, keys of its context and of the gram one word shorter, occurrences and spelling."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        texts = [w for w in map(words_of, batch.column("text").to_pylist()) if w]
-        if not texts:
-            return None
-        both = [grams(w) for w in texts]
-        keys = [np.concatenate([g[k] for g, _ in both]) for k in range(WORD_ORDER)]
-        contexts = [np.zeros(len(keys[0]), np.uint64), *(np.concatenate([c[k] for _, c in both]) for k in range(WORD_ORDER - 1))]
-        spelt = np.concatenate([spelling(w, spell.logs) for w in texts])
-        parts = []
-        for k, (g, c) in enumerate(zip(keys, contexts)):
-            h, at, n = np.unique(g, return_index=True, return_counts=True)
-            shorter = keys[k - 1][at] if k else np.zeros(len(h), np.uint64)
-            parts.append((np.full(len(h), k + 1, np.int32), h.view(np.int64), c[at].view(np.int64), shorter.view(np.int64), n, spelt[at] if k == 0 else np.zeros(len(h))))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["k", "h", "context", "shorter", "n", "spelt"])
-
-    rows = common.map_batches(trusted.select("text"), work, "k int, h long, context long, shorter long, n long, spelt double")
-    return rows.groupBy("k", "h").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"), F.sum("n").alias("n"), F.max("spelt").alias("spelt"))
-
-
-def word_table(trusted: DataFrame, spell: Model) -> tuple[DataFrame, float] | None:
-    """For each key: what the gram adds to the log-probability (adds, occurrences n), and its weight as a context
-    (weight, occurrences as such m); and the weight of the empty context."""
-    counts = common.stored(word_counts(trusted, spell), "words")
-    if counts.isEmpty():
-        return None
-    shorter, empty, parts = None, 0.0, []
-    for k in range(1, WORD_ORDER + 1):
-        here = counts.filter(F.col("k") == k)
-        if k < WORD_ORDER:
-            # continuation count: in how many longer grams it is the end
-            ends = counts.filter(F.col("k") == k + 1).groupBy(F.col("shorter").alias("h")).agg(F.count(F.lit(1)).alias("c"))
-            here = here.join(ends, "h")
+        longer = levels[0]
+        levels.insert(0, common.stored(longer.groupBy(tail("gram", order).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "grams"))
+    return [order_tables(c) for c in levels]
+
+
+def probabilities(asked: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """gram and log (its natural logarithm of probability after its context) for the distinct n-grams asked for."""
+    lower = None
+    for order, (own, weights) in enumerate(model, 1):
+        here = asked.select(tail("gram", order).alias("gram")).distinct() if order < ORDER else asked.select("gram")
+        here = here.join(own, "gram", "left")
+        if lower is None:
+            # one empty context, and below it all units alike
+            below = F.lit(weights.first()["weight"] / (1 << UNIT))
+            here = here.select("gram", (F.coalesce("own", F.lit(0.0)) + below).alias("p"))
         else:
-            here = here.withColumn("c", F.col("n"))
-        c = here.agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
-        y = c[0] / max(1, c[0] + 2 * c[1])
-        d1, d2, d3 = (min(i, max(0.1 * i, i - (i + 1) * y * c[i] / c[i - 1])) if c[i - 1] else 0.5 * i for i in (1, 2, 3))
-        # a discount of all of a count would leave a known gram, or of none the unknown ones, without any probability
-        d1, d2, d3 = (min(max(d, 0.1 * i), 0.95 * i) for i, d in enumerate((d1, d2, d3), 1))
-        here = here.withColumn("d", F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3))
-        contexts = here.groupBy("context").agg((F.sum("d") / F.sum("c")).alias("w"), F.sum("c").alias("total"), F.sum("n").alias("m"))
-        if k == 1:
-            top = contexts.first()
-            empty = math.log(top["w"])
-            held = here.withColumn("w", F.lit(top["w"])).withColumn("total", F.lit(top["total"])).withColumn("below", F.col("spelt"))
-        else:
-            held = here.join(contexts.drop("m"), "context").join(shorter, "shorter")
-            parts.append(contexts.select(F.col("context").alias("h"), F.lit(0.0).alias("adds"), F.lit(0).cast("long").alias("n"), F.log("w").alias("weight"), "m"))
-        # log(p + w * below) - log(w * below), where p may be far greater than w * below
-        own = F.log((F.col("c") - F.col("d")) / F.col("total"))
-        low = F.log("w") + F.col("below")
-        high = F.greatest(own, low)
-        full = high + F.log(F.exp(own - high) + F.exp(low - high))
-        made = common.stored(held.select("h", "n", full.alias("p"), (full - low).alias("adds")), "grams")
-        parts.append(made.select("h", "adds", "n", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("m")))
-        shorter = made.select(F.col("h").alias("shorter"), F.col("p").alias("below"))
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
-    return common.stored(table.groupBy("h").agg(*[F.sum(x).alias(x) for x in ("adds", "n", "weight", "m")]), "model"), empty
-
-
-def asked(docs: DataFrame, spell: Model, empty: float, bits: np.ndarray) -> DataFrame:
-    """One row for each document (h is null), numbered by uid, with the part of its log-probability that needs no look-up; and
-    one for each distinct gram of a slice: uid of the slice, h, and packed for each document that has it its
-    number, occurrences as gram and as context, and whether it is trusted."""
-    schema = "uid long, doc_id long, lang string, trusted boolean, n_chars long, size long, base double, h long, who binary"
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.binary()]
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches):
+            here = here.select("gram", "own", context("gram").alias("context"), tail("gram", order - 1).alias("lower"))
+            here = here.join(weights, "context", "left").join(lower.withColumnRenamed("gram", "lower"), "lower")
+            here = here.select("gram", (F.coalesce("own", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("p")).alias("p"))
+        lower = common.stored(here, "probabilities")
+    return lower.select("gram", F.log("p").alias("log"))
+
+
+def slices(batch: pa.RecordBatch):
+    return common.slices(batch, "text", SLICE_BYTES)
+
+
+def part_of(gram: np.ndarray, bits: int) -> np.ndarray:
+    return (common.mixed(gram) >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def asked(docs: DataFrame, bits: int) -> DataFrame:
+    """For each slice of texts: its distinct n-grams by part of the range of their hashes (part >= 0), and its rows with their texts (part < 0)."""
+
+    def work(batches):
+        import zstandard
         from pyspark import TaskContext
 
-        uid = TaskContext.get().partitionId() << 40
+        number = TaskContext.get().partitionId() << 32
+        press = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
-            for part in common.slices(batch, "text"):
-                texts = part.column("text").to_pylist()
-                trusted = part.column("trusted").to_pylist()
-                size, base, keys, packed = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-                for i, t in enumerate(texts):
-                    w = words_of(t)
-                    if not w:
-                        size.append(None)
-                        base.append(None)
-                        continue
-                    size.append(len(w.decode()))
-                    spelt = spelling(w, spell.logs)
-                    base.append(float(spelt.sum()) + empty * len(spelt))
-                    found, contexts = grams(w)
-                    h = np.concatenate([*found, *contexts])
-                    as_gram = np.arange(len(h)) < sum(map(len, found))
-                    hit = common.in_bitmap(bits, h)
-                    h, at = np.unique(h[hit], return_inverse=True)
-                    n = np.bincount(at, as_gram[hit], len(h)).astype(np.uint64)
-                    m = np.bincount(at, ~as_gram[hit], len(h)).astype(np.uint64)
-                    keys.append(h)
-                    packed += [np.stack([np.full(len(h), 2 * i + trusted[i], np.uint64) | n << np.uint64(32), m], 1).ravel()]
-                rows = part.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(uid, uid + rows), pa.int64()), part.column("doc_id"), part.column("lang"), part.column("trusted"), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(size, pa.int64()), pa.array(base, pa.float64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary())],
-                    names=names,
-                )
-                h, who = np.concatenate(keys), np.concatenate(packed).reshape(-1, 2)
-                order = np.argsort(h, kind="stable")
-                h, who = h[order], who[order]
-                at = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
-                if len(at):
-                    # 4 bytes each: document and mark, occurrences, occurrences as context
-                    thin = np.ascontiguousarray(who).view("<u4").reshape(-1, 4)[:, :3]
-                    data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((12 * np.append(at, len(h))).astype(np.int32).tobytes()), pa.py_buffer(thin.tobytes())])
-                    fill = [pa.nulls(len(at), k) for k in kinds[1:7]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), uid)), *fill, pa.array(h[at].view(np.int64)), data], names=names)
-                uid += rows
-
-    return docs.select("doc_id", "lang", "trusted", "text").mapInArrow(run, schema)
-
-
-def added(found: DataFrame) -> DataFrame:
-    """uid and v: what the known grams (joined with the table) add for each document, summed up for each batch."""
+            for part in slices(batch):
+                names, _ = distinct(grams(part.column("text").to_pylist())[0])
+                own = part_of(names, bits)
+                order = np.argsort(own, kind="stable")
+                names, own = names[order], own[order]
+                cut = common.heads(own)
+                rows = part.cast(pa.schema([*META, ("text", pa.string())])).serialize().to_pybytes()
+                data = pa.concat_arrays([common.pack(names, np.append(cut, len(names))), pa.array([press.compress(rows)], pa.binary())])
+                parts = np.append(own[cut], np.int32(-1 - number * 31 % 4096)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), number)), pa.array(parts), data], names=["slice", "part", "data"])
+                number += 1
+
+    return docs.select(*META.names, "text").mapInArrow(work, "slice long, part int, data binary")
+
+
+def by_part(logs: DataFrame, bits: int) -> DataFrame:
+    """The table of probabilities as rows of packed (gram, log), one for each part and batch; their slice is null."""
 
     def work(batches):
         for batch in batches:
-            if not batch.num_rows:
+            gram = batch.column("gram").to_numpy().view(np.uint64)
+            own = part_of(gram, bits)
+            order = np.argsort(own, kind="stable")
+            pairs = np.stack([gram, batch.column("log").to_numpy().view(np.uint64)], 1)[order]
+            cut = common.heads(own[order])
+            if len(cut):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(cut), pa.int64()), pa.array(own[order][cut]), common.pack(pairs.ravel(), 2 * np.append(cut, len(pairs)))], names=["slice", "part", "data"])
+
+    return logs.mapInArrow(work, "slice long, part int, data binary")
+
+
+def answered(rows: DataFrame) -> DataFrame:
+    """The slices' questions with the logarithms in place of the n-grams, in the same order; slices' texts as they are."""
+
+    def work(batches):
+        for table in common.runs(batches, "part"):
+            part = table.column("part")[0].as_py()
+            if part < 0:
+                yield from table.combine_chunks().to_batches()
                 continue
-            who = batch.column("who").to_pylist()
-            e = np.frombuffer(b"".join(who), "<u4").reshape(-1, 3).astype(np.int64)
-            at = np.repeat(np.arange(len(who)), [len(x) // 12 for x in who])
-            uid, adds, n, weight, m = (batch.column(c).to_numpy()[at] for c in ("uid", "adds", "n", "weight", "m"))
-            own = e[:, 0] & 1
-            # of a trusted document only what others have too
-            v = np.where(n > own * e[:, 1], e[:, 1] * adds, 0.0) + np.where(m > own * e[:, 2], e[:, 2] * weight, 0.0)
-            ids, back = np.unique(uid + (e[:, 0] >> 1), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(back, v, len(ids)))], names=["uid", "v"])
-
-    return found.select("uid", "who", "adds", "n", "weight", "m").mapInArrow(work, "uid long, v double").groupBy("uid").agg(F.sum("v").alias("v"))
-
-
-def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """docs (doc_id, lang, trusted, text) with n_chars and perplexity for text."""
-    spell = train(trusted)
-    model = word_table(trusted, spell) if spell else None
+            known = table.filter(table.column("slice").is_null())
+            pairs = common.packed(known.column("data"))[0].reshape(-1, 2)
+            pairs = pairs[np.argsort(pairs[:, 0])]
+            ask = table.filter(table.column("slice").is_valid())
+            names, sizes = common.packed(ask.column("data"))
+            logs = pairs[np.searchsorted(pairs[:, 0], names), 1].view(np.float64).astype("<f4")
+            if len(sizes):
+                yield pa.RecordBatch.from_arrays([ask.column("slice").combine_chunks(), ask.column("part").combine_chunks(), common.pack(logs, np.concatenate([[0], np.cumsum(sizes)]))], names=["slice", "part", "data"])
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(work, "slice long, part int, data binary")
+
+
+def summed(answers: DataFrame, bits: int) -> DataFrame:
+    """doc_id, lang, trusted, held, n_chars and perplexity of each document."""
+
+    def work(batches):
+        import zstandard
+
+        for table in common.runs(batches, "slice"):
+            parts = table.column("part").to_numpy()
+            data = table.column("data")
+            rows = zstandard.ZstdDecompressor().decompress(data[int(np.flatnonzero(parts < 0)[0])].as_py())
+            rows = pa.ipc.read_record_batch(pa.py_buffer(rows), pa.schema([*META, ("text", pa.string())]))
+            texts = rows.column("text").to_pylist()
+            gram, sizes = grams(texts)
+            names, which = distinct(gram)
+            place = np.argsort(part_of(names, bits), kind="stable")
+            logs = np.zeros(len(names), np.float64)
+            logs[place] = common.packed(data.take(np.flatnonzero(parts >= 0)), "<f4")[0]
+            sums = np.concatenate([[0.0], np.cumsum(logs[which])])[np.concatenate([[0], np.cumsum(sizes)])]
+            worded = [bool(t and t.strip()) for t in texts]
+            per = np.exp(-np.diff(sums) / np.maximum(1, sizes))
+            found = [float(p) if w else None for p, w in zip(per, worded)]
+            columns = [*(rows.column(c) for c in META.names), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(found, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*META.names, "n_chars", "perplexity"])
+
+    out = "doc_id long, lang string, trusted boolean, held boolean, n_chars long, perplexity double"
+    return answers.repartition("slice").sortWithinPartitions("slice", "part").mapInArrow(work, out)
+
+
+def asked_for(docs: DataFrame) -> DataFrame:
+    """The distinct n-grams of all documents."""
+
+    def work(batches):
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(distinct(grams(part.column("text").to_pylist())[0])[0].view(np.int64))], names=["gram"])
+
+    return docs.select("text").mapInArrow(work, "gram long").distinct()
+
+
+def perplexities(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, lang, trusted, held, text) with n_chars and perplexity for text."""
+    model = train(docs.filter("trusted and not held"))
     if model is None:
-        return docs.select("doc_id", "lang", "trusted", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.lit(None).cast("double").alias("perplexity"))
-    table, empty = model
-    rows = common.stored(asked(docs, spell, empty, common.bitmap(table, "h", BITS)), "asked")
-    sums = added(rows.filter("h is not null").select("uid", "h", "who").join(table, "h"))
-    total = F.col("base") + F.coalesce("v", F.lit(0.0))
-    return rows.filter("h is null").join(sums, "uid", "left").select("doc_id", "lang", "trusted", "n_chars", F.exp(-total / F.col("size")).alias("perplexity"))
+        return docs.select("doc_id", "lang", "trusted", "held", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.lit(None).cast("double").alias("perplexity"))
+    bits = max(PARTS_BITS, (4 * common.partitions(docs.sparkSession) - 1).bit_length())
+    logs = probabilities(common.stored(asked_for(docs), "asked"), model)
+    return summed(answered(asked(docs, bits).unionByName(by_part(logs, bits))), bits)
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df to broadcast if it has no more rows than BROADCAST_IDS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -346,18 +264,16 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     ids = trusted_ids.toDF("doc_id").filter("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    marked = docs.join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    scored = common.stored(perplexities(marked, marked.filter("trusted")), "perplexities")
-    good = scored.filter("trusted and perplexity is not null")
+    marked = docs.join(few(ids), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    held = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0, F.lit(False)) & F.col("trusted")
+    scored = common.stored(perplexities(marked.withColumn("held", held)), "perplexities")
+    trusted = scored.filter("trusted and perplexity is not null")
+    apart = trusted.filter("held")
+    good = trusted if apart.isEmpty() else apart
     cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    by_lang = good.filter("lang is not null").groupBy("lang").agg(cut.alias("own"))
     everywhere = good.agg(cut.alias("any")).first()["any"]
-    by_lang = common.stored(by_lang, "thresholds")
+    by_lang = common.stored(good.filter("lang is not null").groupBy("lang").agg(cut.alias("own")), "thresholds")
     # one row a language; a join on the language would put all of a common one into a task
-    if by_lang.count() <= BROADCAST_IDS:
-        by_lang = F.broadcast(by_lang)
-    out = scored.join(by_lang, "lang", "left")
+    out = scored.join(few(by_lang), "lang", "left")
     threshold = F.coalesce("own", F.lit(everywhere).cast("double"))
     return out.select("doc_id", "lang", "n_chars", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("kept"))

@@ -1,6 +1,7 @@
 """Language identification, the language model and HTML extraction."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -59,9 +60,8 @@ def test_language_accuracy(spark, sf_dir):
 
 
 def brute_model(texts):
-    """P(class | three classes before) by the formulas, with dictionaries."""
-    c_of, size = quality_lm.class_of(), quality_lm.CLASSES
-    seqs = [(0,) * 3 + tuple(int(c_of[ord(c)]) for c in t) for t in texts]
+    """P(unit | three units before) by the formulas, with dictionaries."""
+    seqs = [(0xFFFF,) * 3 + units(t) for t in texts]
     counts = {4: Counter(s[i - 3 : i + 1] for s in seqs for i in range(3, len(s)))}
     for n in (3, 2, 1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
@@ -73,7 +73,7 @@ def brute_model(texts):
 
     def p(g):
         if not g:
-            return 1 / size
+            return 1 / 65536
         n = len(g)
         same = {h: v for h, v in counts[n].items() if h[:-1] == g[:-1]}
         if not same:
@@ -86,19 +86,41 @@ def brute_model(texts):
     return p
 
 
+def units(text):
+    raw = text.encode("utf-16-le")
+    return tuple(int.from_bytes(raw[i : i + 2], "little") for i in range(0, len(raw), 2))
+
+
+def brute_perplexity(p, text):
+    s = (0xFFFF,) * 3 + units(text)
+    logs = [math.log(p(s[i - 3 : i + 1])) for i in range(3, len(s))]
+    return math.exp(-sum(logs) / len(logs))
+
+
 def test_kneser_ney(spark):
-    texts = [EN, DE, EN[:40], "aaa bbb\nÀé 12 _日"]
-    model = quality_lm.train(frame(spark, [(i, t, "en") for i, t in enumerate(texts)]))
-    p = brute_model(texts)
-    c_of = quality_lm.class_of()
-    for text in (EN[5:30], "zebra 9", "日本", "Q"):
-        s = (0, 0, 0) + tuple(int(c_of[ord(c)]) for c in text)
-        logs = [math.log(p(s[i - 3 : i + 1])) for i in range(3, len(s))]
-        assert model.perplexity(text) == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-4)
-    import numpy as np
-
-    sums = np.exp(model.logs.astype(float)).reshape(-1, quality_lm.CLASSES).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-4)
+    """Perplexities, thresholds and verdicts against the formulas."""
+    rng = random.Random(5)
+    words = [[*EN.split(), "ABC 123", "ABC 123"], DE.split(), "привет мир как дела сегодня хорошо".split(), "漢字仮名 交じり 文章 漢字仮名".split()]
+    rows = [(i, " ".join(rng.choices(words[i % 4], k=12)), ["en", "de", "ru", None][i % 4]) for i in range(80)]
+    rows += [(100, "привет мир", "ru"), (101, "ыыыыыы ыыы", "ru"), (102, "漢字仮名", "ja"), (103, "жжжж", "ja"), (104, "ABC 123", "en"), (105, "ZZZ 999", "en"), (106, "😀 😀", "en"), (None, EN[:50], "en"), (7, EN, "en"), (107, " \n", "en"), (108, "", None), (109, None, "en")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, trusted string, held int")
+    ids = [i for i in range(80) if i % 3]
+    got = quality_lm.classify(df, spark.createDataFrame([(i,) for i in ids], "id long"), quantile=0.5).collect()
+    held = {r.id for r in spark.range(80).filter("pmod(xxhash64(id), 4) = 0").collect()}
+    p = brute_model([t for i, t, _ in rows if i in ids and i not in held])
+    want = {}
+    for i, t, lang in rows:
+        want.setdefault(i, []).append(brute_perplexity(p, t) if t and t.strip() else None)
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    for r in got:
+        assert r.perplexity is None if want[r.doc_id] == [None] else any(r.perplexity == pytest.approx(x, rel=1e-4) for x in want[r.doc_id])
+    apart = [(r.perplexity, r.lang) for r in got if r.doc_id in ids and r.doc_id in held]
+    assert len(apart) >= 3
+    for r in got:
+        own = sorted(x for x, lang in apart if lang == r.lang and lang is not None) or sorted(x for x, _ in apart)
+        assert r.threshold == own[(len(own) - 1) // 2] and r.kept == (r.perplexity is not None and r.perplexity <= r.threshold)
+    by = {r.doc_id: r.perplexity for r in got}
+    assert by[100] < by[101] and by[102] < by[103] and by[104] < by[105]
 
 
 def test_classify(spark, sf_dir):
