@@ -23,6 +23,7 @@ import hashlib
 import os
 import re
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -35,7 +36,8 @@ from millrace.llm import common
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 2000, 16_384, 65_536
 BLOCK_BYTES = 1 << 20
 LEVEL = 3
-KEPT_WORDS = 450_000
+#: Pre-tokens whose ids a task keeps at hand, some 40 MB.
+KEPT_PIECES = 250_000
 BLOCK_SCHEMA = (
     "shard int, block int, first_doc long, last_doc long, first_token long, block_tokens long, dict_hash string, "
     "doc_ids array<long>, n_tokens array<int>, offsets array<int>, payload binary"
@@ -58,13 +60,28 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Pieces(dict):
+    """Packed ids of pre-tokens; the library's BPE model is asked for those not met before."""
+
+    def __init__(self, model, letters: dict[int, str], kind: str):
+        self.tokenize, self.letters, self.kind, self.space = model.tokenize, letters, kind, letters[32]
+
+    def __missing__(self, part: str) -> bytes:
+        if part.isascii():
+            body = part[1:] if part[0] == " " else part
+            letters = (self.space + body if body is not part else part) if body.isalnum() else part.translate(self.letters)
+        else:
+            letters = part.encode().decode("latin-1").translate(self.letters)
+        found = self[part] = array(self.kind, [t.id for t in self.tokenize(letters)]).tobytes()
+        return found
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library; distinct words go to its BPE model once.
+    """Ids of whole texts by the tokenizers library; distinct pre-tokens go to its BPE model once.
 
-    A text is cut before each space, which never parts a pre-token (texts with a space inside a run of
-    white space, or with a special token's string, go to the library whole). Words with characters
-    outside PLAIN go to the library as they are; the others are cut by SPLIT and their pre-tokens go to
-    the library's BPE model directly.
+    A text of PLAIN characters is cut into pre-tokens by SPLIT. Of other texts, cut before each space (which never parts a
+    pre-token), the words of PLAIN characters are, and the rest go to the library as they are. Texts with a special token's string, and
+    those of the latter kind with a space inside a run of white space, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -72,65 +89,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.letters = byte_letters()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        self.kind = "H" if self.width == 2 else "I"
+        self.pieces = Pieces(self.library.model, byte_letters(), self.kind)
 
     def whole(self, text: str) -> bytes:
-        return self.pack(self.library.encode(text, add_special_tokens=False).ids)
+        return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def piece(self, part: str) -> bytes:
-        """One pre-token by the BPE model."""
-        body = part[1:] if part[0] == " " else part
-        if body.isascii() and body.isalpha():
-            letters = self.letters[32] + body if body is not part else part
-        else:
-            letters = part.encode().decode("latin-1").translate(self.letters)
-        return self.pack([t.id for t in self.model.tokenize(letters)])
-
-    def word(self, word: str) -> bytes:
-        if not word or not PLAIN.fullmatch(word):
-            return self.whole(word)
-        # letters alone are one pre-token, and a sign after a letter begins one
-        if word.isalpha() or word[1:].isalpha() and word[0] == " ":
-            return self.piece(word)
-        if word[-1] in ".,;:!?" and word[-2:-1].isalpha():
-            head = word[:-1]
-            known = self.words.get(head)
-            if known is None:
-                known = self.words[head] = self.word(head)
-            return known + self.part(word[-1])
-        return b"".join(map(self.part, SPLIT.findall(word)))
-
-    def part(self, part: str) -> bytes:
-        known = self.parts.get(part)
-        if known is None:
-            known = self.parts[part] = self.piece(part)
-        return known
+    def split(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, SPLIT.findall(text)))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self.special) or INSIDE.search(text):
+        if len(self.pieces) > KEPT_PIECES:
+            self.pieces.clear()
+        if any(s in text for s in self.special):
+            return self.whole(text)
+        if PLAIN.fullmatch(text):
+            return self.split(text)
+        if INSIDE.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
-        words = [first, *[" " + w for w in rest]] if rest else [first]
-        known = self.words
-        for w in set(words).difference(known):
-            known[w] = self.word(w)
-        out = b"".join([known[w] for w in words])
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        if len(self.parts) > KEPT_WORDS:
-            self.parts.clear()
-        return out
+        return b"".join([self.split(w) if PLAIN.fullmatch(w) else self.whole(w) for w in [first, *[" " + w for w in rest]] if w])
 
 
 @cache
