@@ -9,7 +9,7 @@ first 65536 is two units), of order ORDER. Four units are one 64-bit integer: th
   aggregations of that table, and all of them stay tables, sharded by n-gram.
 * Probabilities: the distinct n-grams of all documents are joined with these tables, order by order.
 * Documents: each slice of texts asks once for each of its distinct n-grams, however many of its documents have it; tasks answer a
-  part of the range of n-grams each, and the answers meet the slice again (its texts travel compressed), which adds them up for each document.
+  part of the range of n-grams each, and a join by slice (its texts, compressed, lie in a table bucketed by it and are not moved) adds them up for each document.
   What is gathered and sent grows with the input; nothing of it goes to the driver, and no n-gram is hot, as a slice asks once.
 * Perplexity is per unit of the text. The threshold of a language is the QUANTILE of the perplexities of its trusted
   documents that were held out from the counts. Documents of a language without such, or of none, use the quantile over
@@ -23,6 +23,8 @@ Ties with a threshold are kept. Of the table only the three columns named are re
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -183,14 +185,10 @@ def by_part(logs: DataFrame, bits: int) -> DataFrame:
 
 
 def answered(rows: DataFrame) -> DataFrame:
-    """The slices' questions with the logarithms in place of the n-grams, in the same order; slices' texts as they are."""
+    """The slices' questions with the logarithms in place of the n-grams, in the same order."""
 
     def work(batches):
         for table in common.runs(batches, "part"):
-            part = table.column("part")[0].as_py()
-            if part < 0:
-                yield from table.combine_chunks().to_batches()
-                continue
             known = table.filter(table.column("slice").is_null())
             pairs = common.packed(known.column("data"))[0].reshape(-1, 2)
             pairs = pairs[np.argsort(pairs[:, 0])]
@@ -203,32 +201,33 @@ def answered(rows: DataFrame) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(work, "slice long, part int, data binary")
 
 
-def summed(answers: DataFrame, bits: int) -> DataFrame:
+def summed(texts: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
     """doc_id, lang, trusted, held, n_chars and perplexity of each document."""
 
     def work(batches):
         import zstandard
 
-        for table in common.runs(batches, "slice"):
-            parts = table.column("part").to_numpy()
-            data = table.column("data")
-            rows = zstandard.ZstdDecompressor().decompress(data[int(np.flatnonzero(parts < 0)[0])].as_py())
-            rows = pa.ipc.read_record_batch(pa.py_buffer(rows), pa.schema([*META, ("text", pa.string())]))
-            texts = rows.column("text").to_pylist()
-            gram, sizes = grams(texts)
-            names, which = distinct(gram)
-            place = np.argsort(part_of(names, bits), kind="stable")
-            logs = np.zeros(len(names), np.float64)
-            logs[place] = common.packed(data.take(np.flatnonzero(parts >= 0)), "<f4")[0]
-            sums = np.concatenate([[0.0], np.cumsum(logs[which])])[np.concatenate([[0], np.cumsum(sizes)])]
-            worded = [bool(t and t.strip()) for t in texts]
-            per = np.exp(-np.diff(sums) / np.maximum(1, sizes))
-            found = [float(p) if w else None for p, w in zip(per, worded)]
-            columns = [*(rows.column(c) for c in META.names), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(found, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*META.names, "n_chars", "perplexity"])
-
+        for batch in batches:
+            for data, parts in zip(batch.column("data"), batch.column("answers")):
+                rows = zstandard.ZstdDecompressor().decompress(data.as_py())
+                rows = pa.ipc.read_record_batch(pa.py_buffer(rows), pa.schema([*META, ("text", pa.string())]))
+                texts = rows.column("text").to_pylist()
+                gram, sizes = grams(texts)
+                names, which = distinct(gram)
+                place = np.argsort(part_of(names, bits), kind="stable")
+                got = sorted((x["part"], x["data"]) for x in parts.as_py() or ())
+                logs = np.zeros(len(names), np.float64)
+                logs[place] = np.frombuffer(b"".join(x for _, x in got), "<f4")
+                sums = np.concatenate([[0.0], np.cumsum(logs[which])])[np.concatenate([[0], np.cumsum(sizes)])]
+                per = np.exp(-np.diff(sums) / np.maximum(1, sizes))
+                found = [float(p) if t and t.strip() else None for p, t in zip(per, texts)]
+                columns = [*(rows.column(c) for c in META.names), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(found, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*META.names, "n_chars", "perplexity"])
+
+    # one row for each part and slice, so a slice's answers are as many as its n-grams
+    all_of = answers.groupBy("slice").agg(F.collect_list(F.struct("part", "data")).alias("answers"))
     out = "doc_id long, lang string, trusted boolean, held boolean, n_chars long, perplexity double"
-    return answers.repartition("slice").sortWithinPartitions("slice", "part").mapInArrow(work, out)
+    return texts.join(all_of, "slice", "left").select("data", "answers").mapInArrow(work, out)
 
 
 def asked_for(docs: DataFrame) -> DataFrame:
@@ -247,9 +246,17 @@ def perplexities(docs: DataFrame) -> DataFrame:
     model = train(docs.filter("trusted and not held"))
     if model is None:
         return docs.select("doc_id", "lang", "trusted", "held", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.lit(None).cast("double").alias("perplexity"))
-    bits = max(PARTS_BITS, (4 * common.partitions(docs.sparkSession) - 1).bit_length())
+    spark = docs.sparkSession
+    bits = max(PARTS_BITS, (4 * common.partitions(spark) - 1).bit_length())
     logs = probabilities(common.stored(asked_for(docs), "asked"), model)
-    return summed(answered(asked(docs, bits).unionByName(by_part(logs, bits))), bits)
+    # bucketed by slice, so that texts stay where they are when the answers come
+    name = f"slices_{uuid.uuid4().hex}"
+    asked(docs, bits).write.bucketBy(common.partitions(spark), "slice").option("path", common.scratch(spark, name)).saveAsTable(name)
+    rows = spark.table(name)
+    answers = answered(rows.filter("part >= 0").unionByName(by_part(logs, bits)))
+    found = common.stored(summed(rows.filter("part < 0").select("slice", "data"), answers, bits), "perplexities")
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -266,7 +273,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE
     ids = trusted_ids.toDF("doc_id").filter("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
     marked = docs.join(few(ids), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     held = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0, F.lit(False)) & F.col("trusted")
-    scored = common.stored(perplexities(marked.withColumn("held", held)), "perplexities")
+    scored = perplexities(marked.withColumn("held", held))
     trusted = scored.filter("trusted and perplexity is not null")
     apart = trusted.filter("held")
     good = trusted if apart.isEmpty() else apart
