@@ -41,7 +41,7 @@ HELD = 4
 #: At least so many parts of the range of hashes, each answered by itself.
 PARTS_BITS = 8
 #: Texts of a slice, and its compression on the way.
-SLICE_BYTES, LEVEL = 16 << 20, 3
+SLICE_BYTES, LEVEL = 8 << 20, 3
 #: Ids and thresholds up to so many rows (of 8 and some 30 bytes) may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 META = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("held", pa.bool_())])
@@ -52,13 +52,17 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     texts = [t or "" for t in texts]
     sizes = np.array([len(t.encode("utf-16-le", "surrogatepass")) // 2 if not t.isascii() else len(t) for t in texts], np.int64)
     pad = START * (ORDER - 1)
-    units = np.frombuffer((pad + pad.join(texts)).encode("utf-16-le", "surrogatepass"), "<u2")
-    begins = np.concatenate([[0], np.cumsum(sizes + ORDER - 1)])[: len(sizes)]
-    at = np.arange(int(sizes.sum())) + np.repeat(begins - np.concatenate([[0], np.cumsum(sizes)])[: len(sizes)], sizes)
-    out = np.zeros(len(at), np.uint64)
-    for i in range(ORDER):
-        out = out << np.uint64(UNIT) | units[at + i].astype(np.uint64)
-    return out, sizes
+    units = np.frombuffer((pad + pad.join(texts)).encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint64)
+    n = len(units) - ORDER + 1
+    out = units[:n].copy()
+    for i in range(1, ORDER):
+        out <<= np.uint64(UNIT)
+        out |= units[i : i + n]
+    # the pads between texts end no n-gram
+    ends = np.cumsum(sizes)[:-1] + (ORDER - 1) * np.arange(len(sizes) - 1)
+    own = np.ones(n, bool)
+    own[(ends[:, None] + np.arange(ORDER - 1)).ravel()] = False
+    return out[own], sizes
 
 
 def distinct(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
