@@ -10,8 +10,11 @@ mostly links is good if long, whatever its stop words, and open if short.
 Pass 2 gives each open block the label of its nearest decided neighbour, before or after it; if both are
 as near and differ, or there is none, a heading or a block of an article is good, any other bad.
 
+If no block of a page is decided, all of them are text.
+
 White space in a block becomes one space, blocks are joined by two line feeds. Null and empty html give the empty text.
-Every row gives one row; nothing is capped. Broken markup is read as far as it goes: a tag that never
+Every row gives one row, an empty table none; nothing is capped, texts of any length are read whole, repeated rows are rows, and
+other columns of the table are not read, whatever their names. Broken markup is read as far as it goes: a tag that never
 ends is text, an element that never ends lasts to the end of its parent.
 """
 
@@ -47,25 +50,42 @@ STOP_WORDS = frozenset(
     "o os e do da em um uma não com para mais".split()
 )
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>|<[!?][^>]*+>", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute after the other, so that nothing inside a name or value counts as one.
+ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A class that begins with one of these tells what the element goes with or without.
+RELATED = set("no not without with has have is hide show".split())
+#: Elements without content, and those that end where the next of their kind (or for p, any block) begins.
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+ENDED = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
+
+
+def away_word(token: str) -> bool:
+    """Whether a class or id names what is not main text: one of WORDS_AWAY, or a compound that begins or ends with one."""
+    parts = [x.lower() for x in PART.findall(token)]
+    if not parts or parts[0] in RELATED:
+        return False
+    return parts[0] in WORDS_AWAY or parts[-1] in WORDS_AWAY
 
 
 def is_away(tag: str, attributes: str) -> bool:
     """Whether an element holds anything but main text."""
     if tag in AWAY:
         return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
+    if not attributes.strip() or tag in ("html", "body"):
         return False
+    seen: dict[str, str] = {}
     for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("class", "id") and not WORDS_AWAY.isdisjoint(x.lower() for x in PART.findall(value)):
-            return True
-    return False
+        seen.setdefault(name.lower(), entities.unescape(value.strip("\"'")))
+    if "hidden" in seen or seen.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", seen.get("style", ""), re.I):
+        return True
+    if not ROLES.isdisjoint(seen.get("role", "").lower().split()):
+        return True
+    tokens = seen.get("class", "").split() + seen.get("id", "").split()
+    if tag in ("article", "main"):
+        # holders of main text: only a class that is such a word by itself
+        return any(t.lower() in WORDS_AWAY for t in tokens)
+    return any(map(away_word, tokens))
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
@@ -84,6 +104,21 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             out.append((text, linked, heading, article > 0))
         parts, linked = [], 0
 
+    def push(tag: str, gone: bool) -> None:
+        nonlocal away, article
+        stack.append((tag, gone))
+        away += gone
+        article += tag in ("article", "main")
+
+    def pop(tag: str) -> None:
+        nonlocal away, article
+        while stack:
+            t, gone = stack.pop()
+            away -= gone
+            article -= t in ("article", "main")
+            if t == tag:
+                return
+
     def add(raw: str) -> None:
         nonlocal linked, breaks
         if away or not raw:
@@ -110,6 +145,8 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
                     at = stop.end()
                 elif tag in ("script", "style", "textarea", "title"):
                     at = len(page)
+                else:
+                    push(tag, True)
             continue
         if tag == "a":
             links = 0 if ends else 1
@@ -122,21 +159,25 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             close()
             links = breaks = 0
             heading = not ends and tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        if not ends and stack and tag in ENDED.get(stack[-1][0], ()):
+            # an element whose end tag may be left out
+            away -= stack.pop()[1]
         if tag in HOLDER:
             if not ends:
-                gone = is_away(tag, attributes)
-                stack.append((tag, gone))
-                away += gone
-                article += tag in ("article", "main")
+                push(tag, is_away(tag, attributes))
             elif any(t == tag for t, _ in stack):
-                while stack:
-                    t, gone = stack.pop()
-                    away -= gone
-                    article -= t in ("article", "main")
-                    if t == tag:
-                        break
-        elif tag == "p" or tag in BLOCK:
-            pass
+                pop(tag)
+        elif tag not in VOID and not ends and not attributes.endswith("/"):
+            # of the others only those that go, and what bears the same name inside of them
+            gone = is_away(tag, attributes)
+            if gone or any(t == tag for t, _ in stack):
+                push(tag, gone)
+        elif ends and tag not in VOID:
+            for t, _ in reversed(stack):
+                if t == tag:
+                    pop(tag)
+                if t == tag or t in HOLDER:
+                    break
     add(page[at:])
     close()
     return out
@@ -155,6 +196,9 @@ def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
             first.append(True if inside or stops >= STOPS else None if stops >= SOME_STOPS else False)
         else:
             first.append(None)
+    if all(x is None for x in first):
+        # a short page: nothing tells its blocks apart
+        return [True] * len(first)
     n = len(first)
     before, after = [None] * n, [None] * n
     last = None

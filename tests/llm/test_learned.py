@@ -197,3 +197,36 @@ def test_words_have_no_fixed_alphabet(spark):
     assert len({r.perplexity for r in got if r.doc_id == 103}) == 1
     # a trusted document is scored like one that was not counted
     assert sorted(r.perplexity for r in got if r.doc_id < 60)[0] > 0.8 * by[100].perplexity
+
+
+def test_profiles_limit_before_the_shuffle(spark):
+    plan = language_id.profiles(frame(spark, [(1, EN, "en")]), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize(
+    ("markup", "kept"),
+    [
+        ('<div title="a hidden gem"><p>@</p></div>', True),
+        ('<div data-id="comment-box"><p>@</p></div>', True),
+        ('<div class="article-share-free"><p>@</p></div>', True),
+        ('<div class="no-sidebar"><p>@</p></div>', True),
+        ('<p class="cookie-notice">@</p>', False),
+        ("<p hidden>@</p>", False),
+        ('<p><span style="display:none">@ <span>@</span> @</span></p>', False),
+        ('<table><tr><td class="sidebar">@</td></tr></table>', False),
+        ('<ul><li class="promo">@<li>@</ul>', True),
+        ('<article class="comment"><p>@</p></article>', False),
+        ('<article class="post comment-open"><p>@</p></article>', True),
+        ("<div><noscript><p>@</p></div>", False),
+        ('<p class="ad">@<p>@</p>', True),
+    ],
+)
+def test_marks_of_elements(markup, kept):
+    found = html_extract.main_text(f"<body><div>{markup.replace('@', LONG)}</div><p>{LONG} and the end of it.</p></body>")
+    assert found.count(LONG.strip()) == (2 if kept else 1) if "<article" not in markup or not kept else found == LONG.strip()
+
+
+def test_short_page():
+    assert html_extract.main_text("<body><p>One line.</p><p>Two &amp; more.</p></body>") == "One line.\n\nTwo & more."
+    assert html_extract.main_text("<body><nav><a href=a>Menu</a></nav></body>") == ""
