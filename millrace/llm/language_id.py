@@ -76,7 +76,8 @@ def profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     labelled = docs.filter("lang is not null and text is not null").select("text", "lang")
     counts = labelled.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return counts.withColumn("rank", rank - 1).filter(F.col("rank") < size).select("lang", "gram", "rank")
+    # a limit on the row number itself lets each task cut its own part of a language first
+    return counts.withColumn("row", rank).filter(F.col("row") <= size).select("lang", "gram", (F.col("row") - 1).alias("rank"))
 
 
 class Profiles:
