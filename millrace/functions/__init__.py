@@ -12,9 +12,10 @@ def json_long(column: str, path: str) -> Column:
 
 
 def url_host(column: str) -> Column:
-    """The host of a URL, null where it has none."""
-    return F.regexp_extract(column, r"^[a-z]+://([^/?#:]+)", 1)
+    """The host of a URL, null where it has none or is no URL."""
+    return F.try_parse_url(F.col(column), F.lit("HOST"))
 
 
 def page_title(column: str) -> Column:
-    return F.regexp_extract(column, r"<title>([^<]*)</title>", 1)
+    """What stands in a page's first title element, empty where it has none."""
+    return F.regexp_extract(column, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)

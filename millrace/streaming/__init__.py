@@ -11,8 +11,11 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; the warehouse where no checkpoint folder is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session the warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return (path or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

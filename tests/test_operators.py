@@ -59,9 +59,46 @@ def test_pivot_and_empty(spark):
 
 
 def test_functions(spark):
-    df = spark.createDataFrame([('{"k": 3}', "https://a.b.org:80/x?y", "<title>T</title>"), ("no json", "ftp", "x"), (None, None, None)], "j string, u string, h string")
+    rows = [
+        ('{"k": 3}', "https://a.b.org:80/x?y", "<title>T</title>", 3, "a.b.org", "T"),
+        ("no json", "ftp", "x", None, None, ""),
+        (None, None, None, None, None, None),
+        ('{"k": "x"}', "HTTP://user:secret@Example.com/", '<TITLE lang="en">A\nb</TITLE ><title>c</title>', None, "Example.com", "A\nb"),
+        ("{}", "https://[2001:db8::1]:8080/", "<titles>x</titles>", None, "[2001:db8::1]", ""),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "j string, u string, h string")
     got = df.select(functions.json_long("j", "$.k").alias("k"), functions.url_host("u").alias("host"), functions.page_title("h").alias("t")).collect()
-    assert [tuple(r) for r in got] == [(3, "a.b.org", "T"), (None, "", ""), (None, None, None)]
+    assert [tuple(r) for r in got] == [r[3:] for r in rows]
+
+
+def test_quantiles(spark):
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(500)] + [("b", 7.0)] * 50 + [("c", float(i % 3)) for i in range(100)] + [("d", 1.0), ("d", 2.0), ("e", 5.0), ("f", None), (None, 1.0), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.lo, r.mid, r.hi) for r in operators.quantiles(df, "k", "v", {"lo": 0.0, "mid": 0.5, "hi": 0.9}, buckets=8).collect()}
+    assert set(got) == set("abcde")
+    for k, (lo, mid, hi) in got.items():
+        own = sorted(v for x, v in rows if x == k and v is not None and v == v)
+        at = 0.9 * (len(own) - 1)
+        i = int(at)
+        assert lo == own[0] and mid == pytest.approx(statistics.median(own)) and hi == pytest.approx(own[i] + (own[min(i + 1, len(own) - 1)] - own[i]) * (at - i))
+    assert operators.quantiles(df.limit(0), "k", "v", {"mid": 0.5}).count() == 0
+
+
+def test_running_totals_over_batches(spark, tmp_path):
+    import os
+
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate([ROWS[:4], ROWS[4:], [(9, 400, 1, "view", 1.0)]]):
+        events(spark, rows).coalesce(1).write.parquet(str(tmp_path / f"w{i}"))
+        next((tmp_path / f"w{i}").glob("part-*")).rename(tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1000 + i, 1000 + i))
+    stream = spark.readStream.schema(streaming.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted(((r.user_id or -1), r.n_events, r.n_purchases) for r in streaming.drained(streaming.running_totals(stream)).collect())
+    assert got == [(-1, 1, 0), (1, 4, 1), (1, 5, 2), (1, 6, 2), (2, 2, 1)]
 
 
 @pytest.mark.parametrize("kind", ["parquet", "orc", "json", "csv"])
