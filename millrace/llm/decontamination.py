@@ -17,7 +17,9 @@ broadcast when their measured size is small and are otherwise joined by salted h
 Words are lower-cased (A-Z) runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`. Null and empty texts have no
 words and are never contaminated. Every row of documents gives one row, with equal or null ids too.
 An item without words has no window; an item whose id is null hits words, but is not counted or
-listed among items. Repeated items count once for each id.
+listed among items. Repeated items count once for each id. Texts of any length are read whole in one task. Without documents there
+are no rows; without items nothing is contaminated. Only id and text of either table are read by score(), so other columns may have any
+name; keep() returns all of them.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ is out of place, PROFILE for those that the language's profile lacks. The neares
 first by name). The score is 1 less the distance over its greatest possible value.
 
 Only text and a label that is not null are learned from. A text that is null or has no letter is `und` with
-score 0, and so is every text when nothing was learned. Rows keep their number and id; whole texts count.
+score 0, and so is every text when nothing was learned. Rows keep their number and id; whole texts of
+any length count, and an empty table gives none. Of the table only id, text and label are read, so other columns may have any name.
 """
 
 from __future__ import annotations

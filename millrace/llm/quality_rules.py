@@ -6,7 +6,8 @@ one ends where the text ends (and overlaps the one before it). A text under 256
 
 Words are runs of anything but ASCII white space. Null and empty texts have no words and fail the
 base rule. Rows come out as they came in: repeated rows and null ids each keep their own result.
-Everything is computed from one text alone, so no row waits for another.
+Everything is computed from one text alone, so no row waits for another; texts of any length are tested whole. A ratio at a limit of
+its band is inside. An empty table gives no rows. score() reads id and text only, and keep() returns all columns whatever their names.
 """
 
 from __future__ import annotations
@@ -121,4 +122,5 @@ def keep(docs: DataFrame, text: str = "text", bands=BANDS) -> DataFrame:
                 good = [measure(t, compress, bands)[6] for t in common.utf8(part.column(text))]
                 yield part.filter(pa.array(good, pa.bool_()))
 
+    common.ship(docs.sparkSession)
     return docs.select(columns).mapInArrow(run, docs.schema)

@@ -9,7 +9,8 @@ left. Where a merge could open a better pair than itself, only the leftmost one
 round, so the order is the library's own. Characters without a piece become byte pieces.
 
 Null and empty texts give no ids and decode to the empty text. Rows keep their order, number and id,
-so repeated rows and null ids are harmless. Words longer than LONG symbols (with runs of one kind,
+so repeated rows and null ids are harmless; an empty table gives no rows. Only id and text are read, so other columns may have any
+name. Texts of any length are encoded whole. Words longer than LONG symbols (with runs of one kind,
 such as thousands of spaces) are merged with a heap, since a round for each merge would take the
 square of their length; the merges are the same.
 """

@@ -10,7 +10,8 @@ The vocabulary is that of a public piece file. Its pieces are ordered by frequen
 rank r has log-probability -ln(r) less the harmonic constant (Zipf's law); equally good cuts count as
 the one with fewest tokens. A character without a piece costs one byte token for each UTF-8 byte, each
 10 below the least piece. Null and empty texts have 0 pre-tokens and 0 tokens. Rows keep their
-number and id. Words longer than LONG characters are scored by the same recurrence without nodes.
+number and id; an empty table gives none, texts of any length count whole, and only id and text are read, so other columns may have
+any name. Words longer than LONG characters are scored by the same recurrence without nodes.
 """
 
 from __future__ import annotations

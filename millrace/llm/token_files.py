@@ -14,7 +14,10 @@ ids first; rows with equal ids follow their text's order). Null and empty texts
 
 The dictionary is trained on a sample of about SAMPLE_DOCS documents of at most SAMPLE_CHARS
 characters, picked by a hash of the id: a dictionary helps short documents only and its size is fixed
-(DICT_BYTES). With too little to train on, the dictionary is empty and frames stand alone.
+(DICT_BYTES). With too little to train on (under 8 KB of ids), the dictionary is empty and frames stand alone.
+
+Texts of any length are one frame each, made in one task. An empty table gives tables without blocks. Only id and text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import public_tokenizers as P
 import pytest
@@ -125,20 +126,51 @@ def test_token_counts(spark, sf_dir):
     assert token_counts.counts(frame(spark, []), MODEL).count() == 0
 
 
+def test_token_counts_of_whole_texts(spark, sf_dir):
+    """Every column of every document by a plain dynamic program over all cuts of each word."""
+    import math
+    import re
+    from functools import cache
+
+    scores = token_counts.unigram(MODEL)
+    byte = min(scores.values()) - 10
+    longest = max(map(len, scores))
+
+    @cache
+    def best(word):
+        at = [(0.0, 0)]
+        for d in range(1, len(word) + 1):
+            n = len(word[d - 1].encode())
+            ways = [(at[d - 1][0] + n * byte, -(at[d - 1][1] + n))] if word[d - 1] not in scores else []
+            ways += [(at[j][0] + scores[word[j:d]], -(at[j][1] + 1)) for j in range(max(0, d - longest), d) if word[j:d] in scores]
+            s, c = max(ways)
+            at.append((s, -c))
+        return at[-1]
+
+    rows = [(i, t) for i, t in enumerate(texts(spark, sf_dir)[:60])] + [(900, "word " * 30_000), (901, "x" * 3000 + " y"), (902, "  two  spaces "), (903, None)]
+    got = {r.doc_id: r for r in token_counts.counts(frame(spark, rows), MODEL).collect()}
+    for i, t in rows:
+        words = re.findall("▁+[^▁]*", "▁" + t.replace(" ", "▁")) if t else []
+        found = [best(w) for w in words]
+        assert got[i].n_pretokens == len(words) and got[i].n_tokens == sum(c for _, c in found), i
+        assert got[i].log_prob == pytest.approx(math.fsum(s for s, _ in found), rel=1e-9, abs=1e-9)
+
+
 def brute_rules(text):
     import re
 
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    hit = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    count = Counter(windows)
+    hit = {i + k for i, w in enumerate(windows) if count[w] > 1 for k in range(3)}
     lines = text.split("\n")
     dup = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in lines[:i] for i, x in enumerate(lines))
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit), len(words) < 50 or 100 * len(hit) > 50 * len(words)
 
 
 def test_quality_rules(spark, sf_dir):
-    rows = ROWS + [(500 + i, t) for i, t in enumerate(texts(spark, sf_dir)) if len(t) < 6000] + [(9000, "one two three four\n" * 40), (9001, "a b\n \na b\na b c")]
+    rows = ROWS + [(500 + i, t) for i, t in enumerate(texts(spark, sf_dir)) if len(t) < 20_000] + [(9000, "one two three four\n" * 40), (9001, "a b\n \na b\na b c")]
     got = quality_rules.score(frame(spark, rows)).collect()
     want = sorted(((i, *brute_rules(t)) for i, t in rows), key=str)
     assert sorted((tuple(r)[:7] for r in got), key=str) == want
