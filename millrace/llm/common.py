@@ -102,15 +102,17 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     for a, b in zip(edges, edges[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    # a worker lives on after its task, with what the pool holds back
+    pa.default_memory_pool().release_unused()
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, by: str = "text") -> DataFrame:
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, by: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over slices of bounded size; work keeps no state between calls that changes results."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, by):
+            for part in slices(batch, by, most):
                 out = work(part)
                 if out is not None and out.num_rows:
                     yield out

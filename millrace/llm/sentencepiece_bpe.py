@@ -31,7 +31,9 @@ from millrace.llm import common
 
 SPACE = "▁"
 LONG = 1000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
+#: Text that is encoded at once.
+SLICE_BYTES = 2 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -220,7 +222,7 @@ def tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], names=["doc_id", "ids", "decoded"])
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return common.map_batches(picked, work, "doc_id long, ids array<int>, decoded string")
+    return common.map_batches(picked, work, "doc_id long, ids array<int>, decoded string", most=SLICE_BYTES)
 
 
 def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,4 +240,4 @@ def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "te
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return common.map_batches(picked, work, SCHEMA)
+    return common.map_batches(picked, work, SCHEMA, most=SLICE_BYTES)
