@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import (
     common,
+    cross_tokens,
     decontamination,
     html_extract,
     jaccard_join,
     language_id,
     quality_lm,
     quality_rules,
+    rank_bpe,
     sentencepiece_bpe,
     substring_dedup,
     token_counts,
     token_files,
+    vector_codes,
 )
 
 END_ID = 2
@@ -72,6 +75,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(documents(spark, sf_dir))
 
 
+def op11_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def shipped(query):
     """The query, after the executors have this package."""
 
@@ -84,7 +99,7 @@ def shipped(query):
 
 
 def queries() -> dict:
-    found = (op1_language_id, op2_token_files, op3_decontamination, op4_html_extract, op5_substring_dedup, op6_jaccard_join, op7_quality_lm, op8_sentencepiece, op9_token_counts, op10_quality_rules)
+    found = (op1_language_id, op2_token_files, op3_decontamination, op4_html_extract, op5_substring_dedup, op6_jaccard_join, op7_quality_lm, op8_sentencepiece, op9_token_counts, op10_quality_rules, op11_cross_tokens, op12_rank_bpe, op13_vector_codes)
     return {f.__name__: shipped(f) for f in found}
 
 
@@ -122,5 +137,26 @@ FROM d LEFT JOIN n USING (r) JOIN reach ON reach.a = d.r JOIN d e ON e.r = reach
 """
 
 
+def lloyd_sql(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
+    """Vector codes by comparing every part with every entry, one pair of tables a round."""
+    ties = """SELECT p.r, p.p, min(struct_pack(d := list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, k := b.k)) AS m
+  FROM cut p JOIN b{0} b ON p.p = b.p GROUP BY 1, 2"""
+    mean = """SELECT p, k, list(v ORDER BY i) AS x FROM (SELECT a.p, a.m.k AS k, t.i, floor(sum(c.x[t.i])::DOUBLE / count(*))::BIGINT AS v
+  FROM a{0} a JOIN cut c USING (r, p), unnest(range(1, len(c.x) + 1)) AS t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2
+  UNION ALL SELECT b.p, b.k, b.x FROM b{0} b WHERE NOT EXISTS (SELECT 1 FROM a{0} a WHERE a.p = b.p AND a.m.k = b.k)"""
+    steps = "".join(f"a{i} AS MATERIALIZED ({ties.format(i)}), b{i + 1} AS MATERIALIZED ({mean.format(i)}), " for i in range(rounds))
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM kept, unnest(range({parts})) AS t(p)),
+b0 AS (SELECT p, r - 1 AS k, x FROM cut WHERE r <= {entries}), {steps}
+a{rounds} AS MATERIALIZED ({ties.format(rounds)}),
+coded AS (SELECT r, string_agg(lower(printf('%02x', m.k)), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+digest AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, k, i)) AS d FROM (SELECT p, k, unnest(x) AS v, unnest(range(len(x))) AS i FROM b{rounds}))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT d FROM digest) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op6_jaccard_join": OP6_SQL}
+    return {"op3_decontamination": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op13_vector_codes": lloyd_sql()}

@@ -1,0 +1,108 @@
+"""Cross-tokenizer alignment against the libraries and a plain comparison of byte ranges."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import public_tokenizers as P
+import pytest
+
+from millrace.llm import cross_tokens, queries
+from tests.conftest import SF_DIR
+
+A, B = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+ODD = ["", " ", "   a   b ", "a\n\nb \n c", "\ta\t\tb", "▁a ▁▁ b", "日本語 テキスト😀 x", "<s> </s> <|endoftext|> <unk> <0x41>", "\x00 null", "é café ÀÉ", "a" * 700, "ab" * 400 + " " * 30 + "z", "x   y　z", "½ ² x²", "\n" * 9 + "end ", "’quote’ – dash…", "aaaa aaaaa aa", None]
+
+
+@pytest.fixture(scope="module")
+def libraries():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(A)
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=B)
+
+
+def letters():
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {chr(b): b for b in plain}
+    return out | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+def brute(rows, libraries):
+    """The rows of the contract, by comparing all byte ranges of a group."""
+    a_lib, b_lib = libraries
+    table = letters()
+    docs = []
+    for doc_id, text in rows:
+        data = b" " + (text or "").encode()
+        a = [(i, bytes(table[c] for c in a_lib.id_to_token(i))) for i in a_lib.encode(" " + text, add_special_tokens=False).ids] if text else []
+        b = [(i, bytes([int(b_lib.id_to_piece(i)[3:5], 16)]) if b_lib.is_byte(i) else b_lib.id_to_piece(i).replace("▁", " ").encode()) for i in b_lib.encode(text)] if text else []
+        if b"".join(x for _, x in a) != data or b"".join(x for _, x in b) != data:
+            a, b = [], []
+        ranges = []
+        for tokens in (a, b):
+            at, out = 0, []
+            for i, x in tokens:
+                out.append((i, at, at + len(x)))
+                at += len(x)
+            ranges.append(out)
+        ends = sorted({e for _, _, e in ranges[0]} & {e for _, _, e in ranges[1]})
+        groups, start = [], 0
+        for end in ends:
+            groups.append([[t for t in r if start <= t[1] and t[2] <= end] for r in ranges])
+            start = end
+        links = [(x[0], y[0]) for g in groups for x in g[0] for y in g[1] if x[1] < y[2] and y[1] < x[2]]
+        listed = ";".join("|".join(",".join(str(t[0]) for t in side) for side in g) for g in groups)
+        docs.append((doc_id, len(a), len(b), len(groups), links, hashlib.sha256(listed.encode()).hexdigest() if a else ""))
+    count = Counter(x for d in docs for x in d[4])
+    top = defaultdict(int)
+    for (_, b), n in count.items():
+        top[b] = max(top[b], n)
+    return sorted(((d[0] is None, d[0] or 0), *d[1:4], len(d[4]), sum(count[x] == top[x[1]] for x in d[4]), sum(count[x] for x in d[4]), d[5]) for d in docs)
+
+
+def got(df):
+    return sorted(((r.doc_id is None, r.doc_id or 0), r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in df.collect())
+
+
+def test_odd_texts_nulls_repeats_and_clashing_names(spark, libraries):
+    rows = [*enumerate(ODD), (None, "no id"), (3, "same id"), (3, "same id"), (77, "a ½ b" * 50)]
+    df = spark.createDataFrame([(i, t, 1, 2, "x", "y") for i, t in rows], "doc_id long, text string, n_a int, slice int, pair string, answers string").repartition(3)
+    assert got(cross_tokens.align(df, A, B)) == brute(rows, libraries)
+
+
+def test_random_texts(spark, libraries, monkeypatch):
+    pick = random.Random(5)
+    alphabets = ["ab", "abc \n", "etaoinshr ", "éüñçß x", "日本語中文 ", "a😀 ", "aAbB'st ", "0123456789x.,"]
+    rows = [(i, "".join(pick.choice(pick.choice(alphabets)) for _ in range(pick.choice([1, 5, 40, 300])))) for i in range(400)]
+    # several slices, whose answers are asked for apart
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert got(cross_tokens.align(df, A, B)) == brute(rows, libraries)
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert cross_tokens.align(df, A, B).collect() == []
+    df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert [tuple(r) for r in cross_tokens.align(df, A, B).orderBy("doc_id").collect()] == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_exact_groups_do_not_enter_the_pair_shuffle(spark):
+    made = cross_tokens.aligner(A, B).align(["the cat and the dog"])
+    assert len(made["pairs"]) == 0 and made["fast"]["n"].sum() == made["stats"][0, 2] == 5
+
+
+def test_identity_map_keeps_bytes():
+    al = cross_tokens.aligner(A, B)
+    known = al.identity >= 0
+    assert known.sum() > 10_000
+    assert all(al.a_bytes[i] == al.b_bytes[j] for i, j in enumerate(al.identity.tolist()) if j >= 0)
+
+
+def test_query_over_the_whole_table(spark, libraries):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
+    assert got(queries.op11_cross_tokens(spark, SF_DIR)) == brute(rows, libraries)
