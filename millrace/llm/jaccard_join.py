@@ -1,4 +1,4 @@
-"""Exact Jaccard join of word shingle sets in metric space: pivots, their regions, triangle windows, recursion.
+"""Jaccard join of word shingle sets in metric space: pivots, their regions, triangle windows, recursion.
 
 Jaccard distance is a metric, but it is 1 between any two texts that share no shingle, and among such texts no
 pivot tells anything. So the first regions are a lossless cover: two sets of similarity t or more share one of
@@ -98,7 +98,8 @@ def asked(docs: DataFrame, k: int, bits: int) -> DataFrame:
         )
         several = np.ascontiguousarray(entries[np.repeat(count > 1, count)])
         extra = pa.array([rows.serialize().to_pybytes(), several.tobytes()], pa.binary())
-        spread = 2 * (number * 31 % 4096)
+        # a key of its own for each slice, so that its rows meet no other's
+        spread = 2 * int(common.mixed(np.array([number], np.uint64))[0] >> np.uint64(35))
         parts = np.concatenate([own[cut].astype(np.int32), np.array([-1 - spread, -2 - spread], np.int32)])
         data = pa.concat_arrays([common.pack(ask, np.append(cut, len(ask))), extra])
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), number)), pa.array(parts), data], names=["slice", "part", "data"])

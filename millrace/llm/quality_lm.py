@@ -165,7 +165,8 @@ def asked(docs: DataFrame, bits: int) -> DataFrame:
                 cut = common.heads(own)
                 rows = part.cast(pa.schema([*META, ("text", pa.string())])).serialize().to_pybytes()
                 data = pa.concat_arrays([common.pack(names, np.append(cut, len(names))), pa.array([press.compress(rows)], pa.binary())])
-                parts = np.append(own[cut], np.int32(-1 - number * 31 % 4096)).astype(np.int32)
+                spread = int(common.mixed(np.array([number], np.uint64))[0] >> np.uint64(34))
+                parts = np.append(own[cut], np.int32(-1 - spread)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), number)), pa.array(parts), data], names=["slice", "part", "data"])
                 number += 1
 

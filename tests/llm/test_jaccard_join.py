@@ -147,3 +147,12 @@ def test_components(spark):
             root[a] = root[b] = m
     assert got == {k: v for k, v in root.items() if k in got}
     assert {k for k, v in root.items() if k != v} <= set(got)
+
+
+def test_rows_of_slices_are_spread(spark):
+    """Each slice's rows have a key of their own in the exchange, whatever partition they come from."""
+    docs = spark.range(64).selectExpr("id as doc_id", "concat('a b c d e f ', id) as text", "id as text_hash").repartition(32)
+    keys = J.asked(docs, 5, 10).filter("part < 0").select("slice", "part").collect()
+    slices = {r.slice for r in keys}
+    assert len(slices) >= 30
+    assert len({r.part for r in keys}) == len(keys) == 2 * len(slices)
