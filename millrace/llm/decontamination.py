@@ -6,8 +6,8 @@ holds each of them, so for exact containment the necessary prefix is one shingle
 
 1. All documents are counted for the shingles of all windows (shingles that occur nowhere rule their
    windows out), and each window's shingles are ordered by that count.
-2. Documents give the places of prefix shingles with the words around them; these join the windows
-   on the shingle's hash. The window's start follows from the shingle's place in it, and has to lie
+2. Documents give the places of prefix shingles with the words around them, places with the same words as one row of at most
+   PLACES of them; these join the windows on the shingle's hash. The window's start follows from the shingle's place in it, and has to lie
    inside the document with all its length (positional and length bounds).
 3. The words there are compared with the window's words, so that hashes decide nothing.
 
@@ -17,15 +17,19 @@ broadcast when their measured size is small and are otherwise joined by salted h
 Words are lower-cased (A-Z) runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`. Null and empty texts have no
 words and are never contaminated. Every row of documents gives one row, with equal or null ids too.
 An item without words has no window; an item whose id is null hits words, but is not counted or
-listed among items. Repeated items count once for each id. Texts of any length are read whole in one task. Without documents there
+listed among items. Repeated items count once for each id. Texts of any length are read whole in one task, which holds at most
+PLACES places and PLACES_BYTES of words about them (a text of one word a million times has one place in every word). Without documents there
 are no rows; without items nothing is contaminated. Only id and text of either table are read by score(), so other columns may have any
 name; keep() returns all of them.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +39,15 @@ WINDOW, SHINGLE = 13, 5
 #: Windows of up to so many bytes are broadcast.
 BROADCAST_BYTES = 32 << 20
 SALTS = 16
+#: What a task holds of places before it sends them on.
+PLACES, PLACES_BYTES = 1 << 18, 16 << 20
+SCANNED = "row long, doc_id long, text_hash long, n_words long, some boolean, h long, gap int, around string, places array<int>"
 _TABLE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
+NAMES = [c.split()[0] for c in SCANNED.split(", ")]
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_TABLE).split() if text else []
 
@@ -89,6 +99,44 @@ def shingle_counts(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> Da
     return counts.join(shingles, "h", "left_semi")
 
 
+def scan(part: pa.RecordBatch, number: int, sizes: list[int], bits: np.ndarray, size: int):
+    """A row for each text of a slice, and rows for the places of prefix shingles in it with the words about them."""
+    counts, some = [], []
+    held: dict[tuple, array] = {}
+    n = room = 0
+
+    def emit() -> pa.RecordBatch:
+        keys = list(held)
+        columns = [pa.array([k[0] for k in keys], pa.int64()), *(pa.nulls(len(keys), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
+        columns += [pa.array([k[i] for k in keys], t) for i, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.string()))]
+        columns.append(pa.array([np.frombuffer(x, np.int32) for x in held.values()], pa.list_(pa.int32())))
+        held.clear()
+        return pa.RecordBatch.from_arrays(columns, names=NAMES)
+
+    for i, t in enumerate(common.utf8(part.column("text"))):
+        hashes = hashes_of(t)
+        places = _places(hashes, sizes, bits)
+        counts.append(len(hashes))
+        some.append(len(places[0]) > 0)
+        words = words_of(t) if some[-1] else []
+        for h, at, k in zip(*places):
+            low = max(0, int(at) + int(k) - size)
+            key = (number + i, int(h), int(at) - low, b" ".join(words[low : at + size]).decode())
+            if key not in held:
+                held[key] = array("i")
+                room += len(key[3])
+            held[key].append(at)
+            n += 1
+            if n >= PLACES or room >= PLACES_BYTES:
+                yield emit()
+                n = room = 0
+    if held:
+        yield emit()
+    m = part.num_rows
+    columns = [pa.array(np.arange(number, number + m)), part.column("doc_id"), part.column("text_hash"), pa.array(counts, pa.int64()), pa.array(some, pa.bool_())]
+    yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(m, t) for t in (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32())))], names=NAMES)
+
+
 def matches(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(one row a document, verified windows by document row and start, windows by item)."""
     spark = docs.sparkSession
@@ -103,26 +151,17 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id:
     prefix = common.stored(rarest.filter("p.times > 0").select("window", "size", "p.h", "p.offset"), "prefixes")
     bits = common.bitmap(prefix, "h")
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, found = [], []
-        for t in common.utf8(batch.column("text")):
-            hashes = hashes_of(t)
-            counts.append(len(hashes))
-            row = []
-            places = [x.tolist() for x in _places(hashes, sizes, bits)]
-            words = words_of(t) if places[0] else []
-            for h, at, k in zip(*places):
-                low = max(0, at + k - size)
-                row.append({"h": h, "at": at, "low": low, "around": b" ".join(words[low : at + size]).decode()})
-            found.append(row)
-        kind = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("around", pa.string())]))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(counts, pa.int64()), pa.array(found, kind)], names=["doc_id", "text_hash", "n_words", "found"])
-
-    scanned = common.map_batches(
-        docs.withColumn("hash", F.xxhash64("text")), work, "doc_id long, text_hash long, n_words long, found array<struct<h:long,at:int,low:int,around:string>>"
-    )
-    rows = common.stored(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
-    places = rows.filter(F.size("found") > 0).select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.*")
+    def work(batches):
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                for rows in scan(part, number, sizes, bits, size):
+                    yield rows
+                number += part.num_rows
+
+    common.ship(spark)
+    rows = common.stored(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(work, SCANNED), "scanned")
+    places = rows.filter("h is not null").select("row", "h", "gap", "around", "places")
     # the hash of a prefix may be that of a very common passage: broadcast the windows, or salt both sides
     width = prefix.agg(F.sum(F.octet_length("window") + 64).alias("b")).first().b or 0
     if width <= BROADCAST_BYTES:
@@ -130,11 +169,11 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id:
     else:
         salted = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = places.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"])
-    start = F.col("at") - F.col("offset")
-    inside = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
-    same = F.array_join(F.slice(F.split("around", " "), F.col("at") - F.col("offset") - F.col("low") + 1, F.col("size")), " ") == F.col("window")
-    hits = joined.filter(inside & (start >= F.col("low"))).filter(same).select("row", start.alias("start"), "size", "window").distinct()
-    return rows, common.stored(hits, "hits"), by_item
+    # around has gap words before the shingle, and ends where the text ends
+    same = F.array_join(F.slice(F.split("around", " "), F.col("gap") - F.col("offset") + 1, F.col("size")), " ") == F.col("window")
+    met = joined.filter(F.col("gap") >= F.col("offset")).filter(same).select("row", F.explode("places").alias("at"), "offset", "size", "window")
+    hits = met.select("row", (F.col("at") - F.col("offset")).alias("start"), "size", "window").distinct()
+    return rows.filter("h is null").drop("h", "gap", "around", "places"), common.stored(hits, "hits"), by_item
 
 
 def score(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -150,8 +189,8 @@ def score(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     ids = by_item.filter("item_id is not null").select("window", "item_id")
     found = hits.select("row", "window").distinct().join(ids, "window").select("row", F.col("item_id").cast("string").alias("i")).distinct()
     lists = found.groupBy("row").agg(F.count("i").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list("i"))).alias("items"))
-    some = rows.filter(F.size("found") > 0).join(spans, "row", "left").join(lists, "row", "left")
-    none = rows.filter(F.size("found") == 0).select("*", F.lit(None).cast("long").alias("n_hit"), F.lit(None).cast("long").alias("n_items"), F.lit(None).cast("string").alias("items"))
+    some = rows.filter("some").join(spans, "row", "left").join(lists, "row", "left")
+    none = rows.filter("not some").select("*", F.lit(None).cast("long").alias("n_hit"), F.lit(None).cast("long").alias("n_items"), F.lit(None).cast("string").alias("items"))
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return some.unionByName(none).select(
         "doc_id", "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
@@ -160,7 +199,7 @@ def score(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     )
 
 
-def keep(docs: DataFrame, items: DataFrame, text: str = "text", **columns) -> DataFrame:
-    """The rows of docs whose text is not contaminated, with all their columns."""
-    bad = score(docs, items, text=text, **columns).filter("contaminated").select(F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, F.xxhash64(docs[text]) == bad["__hash"], "left_anti")
+def keep(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **columns) -> DataFrame:
+    """The rows of docs whose text is not contaminated, with all their columns; rows are found again by id and text hash."""
+    bad = score(docs, items, doc_id, text, **columns).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(bad, (F.xxhash64(docs[text]) == bad["__hash"]) & docs[doc_id].cast("long").eqNullSafe(bad["__id"]), "left_anti")

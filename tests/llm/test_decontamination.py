@@ -78,3 +78,30 @@ def test_bitmap_has_every_hash(spark):
     import numpy as np
 
     assert common.in_bitmap(bits, np.array([r.h for r in df.collect()]).view(np.uint64)).all()
+
+
+def test_long_texts_of_one_word(spark, monkeypatch):
+    """Each place of a text is the prefix of a window: places go out in bounded batches, and results are whole."""
+    rows = [(1, "la " * 40_000), (2, "x " * 200 + "la la " * 3 + "y " * 500), (3, "la lo " * 9000 + "end"), (4, "lo la " * 10)]
+    items = [(1, "la " * 15), (2, "la la la"), (3, "la lo " * 7), (4, "lo la lo la lo")]
+    monkeypatch.setattr(decontamination, "PLACES", 5000)
+    assert run(spark, rows, items)[0] == brute(rows, items)
+
+
+def test_memory_of_a_very_long_text():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    text = "la " * 1_400_000
+    h = common.shingle_hashes(decontamination.hashes_of(text[:60].encode()), 5)[:1]
+    bits = np.zeros(1 << 18, np.uint64)
+    slot = int(h[0] & np.uint64((1 << 24) - 1))
+    bits[slot >> 6] |= np.uint64(1 << (slot & 63))
+    part = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], names=["doc_id", "text_hash", "text"])
+    tracemalloc.start()
+    places = sum(len(x) for batch in decontamination.scan(part, 0, [5], bits, 13) for x in batch.column("places").to_pylist() if x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert places == 1_400_000 - 4 and peak < 400e6
