@@ -179,6 +179,56 @@ def test_quality_rules(spark, sf_dir):
     assert quality_rules.score(frame(spark, [])).count() == 0
 
 
+def plain_verdict(text):
+    """The verdict by hand: limits and chunks written out, nothing taken from the module."""
+    import zstandard
+
+    data = (text or "").encode()
+    n, _, _, _, _, failed = brute_rules(text)
+    if failed or not data:
+        return False
+
+    def ratio(part):
+        return len(zstandard.ZstdCompressor(level=3).compress(part)) / len(part)
+
+    def limits(size):
+        if size < 160:
+            return 0.15, 0.95
+        if size < 200:
+            return 0.15, 0.90
+        if size < 256:
+            return 0.15, 0.85
+        if size < 1024:
+            return 0.25, 0.85
+        if size < 4096:
+            return 0.25, 0.72
+        return (0.22, 0.70) if size < 16384 else (0.15, 0.70)
+
+    low, high = limits(len(data))
+    if not low <= ratio(data) <= high:
+        return False
+    size = 4096 if len(data) >= 4096 else 1024 if len(data) >= 1024 else 256 if len(data) >= 256 else len(data)
+    starts = sorted({min(a, len(data) - size) for a in range(0, len(data), size)})
+    low, high = (0.20, 0.72) if size == 4096 else limits(size)
+    bad = sum(not low <= ratio(data[a : a + size]) <= high for a in starts)
+    return bad <= 0.3 * len(starts)
+
+
+def test_quality_rules_verdict(spark, sf_dir):
+    rng = random.Random(8)
+    odd = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    made = [" ".join("".join(rng.choices(letters, k=k)) for _ in range(n)) for letters in (odd, "etaoinshr", "etaoin") for k in (1, 2, 3, 4, 8, 40) for n in (50, 51, 52, 55, 80, 300, 1500)]
+    rows = [*enumerate(texts(spark, sf_dir) + made), *((7000 + i, t) for i, t in enumerate(ODD))]
+    got = {r.doc_id: r.kept for r in quality_rules.score(frame(spark, rows)).collect()}
+    assert got == {i: plain_verdict(t) for i, t in rows}
+    assert {True, False} == {got[i] for i, _ in rows}
+    # short noise goes, short prose of short words stays
+    noise = " ".join("".join(rng.choices(odd, k=4)) for _ in range(51))
+    prose = "we go to it as he is in on it or so as we do it by an ox at no sea if it is he or I we see a cat on it so I go to him and he to me as it is we do"
+    assert len(noise) == 254 and 100 < len(prose) < 200
+    assert [r.kept for r in quality_rules.score(frame(spark, [(1, noise), (2, prose)])).orderBy("doc_id").collect()] == [False, plain_verdict(prose)]
+
+
 def test_quality_rules_bands(spark):
     rng = random.Random(5)
     noise = " ".join("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=60)) for _ in range(200))
