@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace import storage
+
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key. Spark keeps k rows a key and task before the shuffle."""
@@ -64,25 +66,29 @@ def pivot(df: DataFrame, keys: list[str], column: str, values: list[str], measur
     return df.groupBy(*keys).pivot(column, values).agg(measure)
 
 
-def quantiles(df: DataFrame, key: str, value: str, at: dict[str, float], buckets: int = 1024) -> DataFrame:
+def quantiles(df: DataFrame, key: str, value: str, at: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles of value by key, one column for each entry of at (name to share).
 
-    Values are counted in equal buckets between a key's least and greatest first; only the buckets that hold a wanted rank
-    are then looked at value by value, as counts of distinct values. No task takes a whole key. Null keys, null values and NaN are left out.
+    Equal values are counted first. The counts are dealt to partitions by ranges of key and value, so that a key of many values
+    lies in many of them, whatever its outliers; they are stored once, with the partition as their bucket. The sums of buckets tell which ones hold a
+    wanted rank, and only those are looked at value by value. A task holds one range of values at most, never a key.
+    Null keys, null values and NaN are left out.
     """
     rows = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value)).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    ends = rows.groupBy(key).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
-    share = (F.col("v") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
-    placed = rows.join(ends, key).withColumn("bucket", F.coalesce(F.floor(share * buckets), F.lit(0)))
-    sizes = placed.groupBy(key, "bucket").agg(F.sum("c").alias("size"), F.first("n").alias("n"))
-    before = F.sum("size").over(Window.partitionBy(key).orderBy("bucket")) - F.col("size")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = storage.stored(rows.repartitionByRange(parts, key, "v").withColumn("bucket", F.spark_partition_id()), "values")
+    # one row for each key and partition
+    sizes = placed.groupBy(key, "bucket").agg(F.sum("c").alias("size"))
+    whole = Window.partitionBy(key)
+    before = F.sum("size").over(whole.orderBy("bucket")) - F.col("size")
+    ranked = sizes.select(key, "bucket", "size", before.alias("before"), F.sum("size").over(whole).alias("n"))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in at.items()])
-    asked = sizes.withColumn("before", before).select(key, "bucket", "before", "size", "n", F.explode(wanted).alias("w"))
-    ranks = asked.select(key, "bucket", "before", "size", "w.name", (F.col("w.q") * (F.col("n") - 1)).alias("pos")).withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos")))))
-    ranks = ranks.filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size"))).select(key, "bucket", "before", "name", "pos", "rank")
-    inside = placed.join(ranks.select(key, "bucket").distinct(), [key, "bucket"], "left_semi")
-    upto = inside.withColumn("upto", F.sum("c").over(Window.partitionBy(key, "bucket").orderBy("v"))).select(key, "bucket", "v", "c", "upto")
-    found = upto.join(ranks, [key, "bucket"]).filter((F.col("rank") - F.col("before") < F.col("upto")) & (F.col("rank") - F.col("before") >= F.col("upto") - F.col("c")))
+    asked = ranked.select("*", F.explode(wanted).alias("w")).select(key, "bucket", "before", "size", "w.name", (F.col("w.q") * (F.col("n") - 1)).alias("pos"))
+    asked = asked.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos")))))
+    asked = asked.filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size"))).select(key, "bucket", "before", "name", "pos", "rank")
+    inside = placed.join(asked.select(key, "bucket").distinct(), [key, "bucket"], "left_semi")
+    upto = inside.withColumn("upto", F.sum("c").over(Window.partitionBy(key, "bucket").orderBy("v")))
+    found = upto.join(asked, [key, "bucket"]).filter((F.col("rank") - F.col("before") < F.col("upto")) & (F.col("rank") - F.col("before") >= F.col("upto") - F.col("c")))
     low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
     each = found.groupBy(key, "name").agg((low + (high - low) * (F.first("pos") - F.min("rank"))).alias("q"))
-    return each.groupBy(key).agg(*[F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in at])
+    return storage.stored(each.groupBy(key).agg(*[F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in at]), "quantiles")

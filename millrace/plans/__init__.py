@@ -134,13 +134,20 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = streaming.drained(streaming.running_totals(streaming.events(spark, sf_dir)))
-    return rows.groupBy("user_id").agg(F.max("n_events").alias("n_events"), F.max("n_purchases").alias("n_purchases"))
+    daily = streaming.drained(streaming.daily_totals(streaming.events(spark, sf_dir), "1 hour"), "update")
+    return streaming.running_totals(daily).groupBy("user_id").agg(F.max("n_events").alias("n_events"), F.max("n_purchases").alias("n_purchases"))
+
+
+def stream_clicks_before_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with the clicks of the six hours before, by two streams; purchases without any once the watermark has passed them."""
+    events = lambda kind, i, t: streaming.events(spark, sf_dir).filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(i), F.col("ts").alias(t))
+    joined = streaming.interval_join(events("purchase", "purchase_id", "bought_at"), events("click", "click_id", "clicked_at"), ["user_id"], "bought_at", "clicked_at", 6 * 3600, "1 hour", "leftOuter")
+    return streaming.drained(joined.select("user_id", "purchase_id", "click_id"))
 
 
 def robust_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event's distance from its type's median in median absolute deviations."""
-    events = sources.table(spark, sf_dir, "events")
+    events = sources.table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     off = events.join(operators.quantiles(events, "event_type", "value", {"m": 0.5}), "event_type").withColumn("d", F.abs(F.col("value") - F.col("m")))
     spread = operators.quantiles(off, "event_type", "d", {"mad": 0.5})
     return off.join(spread, "event_type").select("event_id", F.round(F.col("d") / F.nullif(F.col("mad"), F.lit(0.0)), 6).alias("score"))
@@ -169,6 +176,8 @@ SQL = {
     "SELECT user_id, min(ts)::TIMESTAMPTZ AS session_start, count(*) AS n_events FROM b GROUP BY user_id, s HAVING max(ts) + INTERVAL 4 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
     stream_dedup: "SELECT event_id, user_id, event_type FROM events",
     stream_running_totals: "SELECT user_id, count(*) AS n_events, count(*) FILTER (event_type = 'purchase') AS n_purchases FROM events GROUP BY 1",
+    stream_clicks_before_purchase: "WITH p AS (FROM events WHERE event_type = 'purchase'), c AS (FROM events WHERE event_type = 'click'), m AS (SELECT p.user_id, p.event_id AS purchase_id, c.event_id AS click_id, p.ts FROM p LEFT JOIN c ON p.user_id = c.user_id AND c.ts <= p.ts AND c.ts > p.ts - INTERVAL 6 HOURS) "
+    "SELECT user_id, purchase_id, click_id FROM m WHERE click_id IS NOT NULL OR ts <= (SELECT least((SELECT max(ts) FROM p), (SELECT max(ts) FROM c)) - INTERVAL 1 HOUR)",
     robust_scores: "WITH m AS (SELECT event_type, quantile_cont(value, 0.5) AS m FROM events GROUP BY 1), d AS (SELECT event_id, e.event_type, abs(value - m) AS d FROM events e JOIN m USING (event_type)), s AS (SELECT event_type, quantile_cont(d, 0.5) AS mad FROM d GROUP BY 1) SELECT event_id, round(d / nullif(mad, 0), 6) AS score FROM d JOIN s USING (event_type)",
 }
 

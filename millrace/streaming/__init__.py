@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-
+from millrace import storage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session the warehouse."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    return (path or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,12 +24,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run the stream over all available input into Parquet (exactly once), and read that."""
+    """Run the stream over all available input into Parquet (exactly once), and read that.
+
+    In update mode each micro-batch is a folder of its own (column batch), written anew if the batch is run again.
+    """
     spark = stream.sparkSession
-    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows")
+    out = storage.scratch(spark, "stream")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").start(f"{out}/rows")
+    else:
+        query = writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/rows/batch={batch}")).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    return spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(f"{out}/rows")
 
 
 def window_counts(stream: DataFrame, size: str, late: str) -> DataFrame:
@@ -53,19 +58,26 @@ def first_by(stream: DataFrame, keys: list[str], late: str) -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def running_totals(stream: DataFrame) -> DataFrame:
-    """For each user and micro-batch, the running number of events and purchases, in keyed state."""
-    import pandas as pd
+def daily_totals(stream: DataFrame, late: str) -> DataFrame:
+    """For each user and day, the number of events and purchases so far, in update mode; a day's state goes when the watermark passes it."""
+    bought = F.count(F.when(F.col("event_type") == "purchase", 1))
+    grouped = stream.withWatermark("ts", late).groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n_events"), bought.alias("n_purchases"))
+    return grouped.select("user_id", F.col("w.start").alias("day"), "n_events", "n_purchases")
+
 
-    def update(key, frames, state):
-        n, bought = state.get if state.exists else (0, 0)
-        for f in frames:
-            n += len(f)
-            bought += int((f.event_type == "purchase").sum())
-        state.update((n, bought))
-        yield pd.DataFrame({"user_id": [key[0]], "n_events": [n], "n_purchases": [bought]})
+def running_totals(daily: DataFrame) -> DataFrame:
+    """For each user and day, the running number of events and purchases, from the drained rows of daily_totals: the last of each day, summed up."""
+    last = daily.groupBy("user_id", "day").agg(*[F.max_by(c, "batch").alias(c) for c in ("n_events", "n_purchases")])
+    upto = Window.partitionBy("user_id").orderBy("day")
+    return last.select("user_id", "day", *[F.sum(c).over(upto).alias(c) for c in ("n_events", "n_purchases")])
 
-    from pyspark.sql.streaming.state import GroupStateTimeout
 
-    schema = "user_id long, n_events long, n_purchases long"
-    return stream.select("user_id", "event_type").groupBy("user_id").applyInPandasWithState(update, schema, "n long, bought long", "append", GroupStateTimeout.NoTimeout)
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, seconds: int, late: str, how: str = "inner") -> DataFrame:
+    """Pairs of two streams with equal keys and 0 <= left_time - right_time < seconds; left rows without a pair (how: leftOuter) when the watermark tells that none can come.
+
+    Both sides have a watermark, and the time condition bounds what either can still meet, so state goes on both. Columns must differ but for keys.
+    """
+    a, b = left.withWatermark(left_time, late), right.withWatermark(right_time, late).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k) == F.col(f"__{k}") for k in keys]
+    near = [F.col(right_time) <= F.col(left_time), F.col(right_time) > F.col(left_time) - F.expr(f"INTERVAL {seconds} SECONDS")]
+    return a.join(b, reduce(and_, [*same, *near]), how).drop(*[f"__{k}" for k in keys])

@@ -78,7 +78,7 @@ def test_quantiles(spark):
     rng = random.Random(4)
     rows = [("a", rng.gauss(0, 1)) for _ in range(500)] + [("b", 7.0)] * 50 + [("c", float(i % 3)) for i in range(100)] + [("d", 1.0), ("d", 2.0), ("e", 5.0), ("f", None), (None, 1.0), ("a", float("nan"))]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r.k: (r.lo, r.mid, r.hi) for r in operators.quantiles(df, "k", "v", {"lo": 0.0, "mid": 0.5, "hi": 0.9}, buckets=8).collect()}
+    got = {r.k: (r.lo, r.mid, r.hi) for r in operators.quantiles(df, "k", "v", {"lo": 0.0, "mid": 0.5, "hi": 0.9}).collect()}
     assert set(got) == set("abcde")
     for k, (lo, mid, hi) in got.items():
         own = sorted(v for x, v in rows if x == k and v is not None and v == v)
@@ -97,8 +97,11 @@ def test_running_totals_over_batches(spark, tmp_path):
         next((tmp_path / f"w{i}").glob("part-*")).rename(tmp_path / "in" / f"{i}.parquet")
         os.utime(tmp_path / "in" / f"{i}.parquet", (1000 + i, 1000 + i))
     stream = spark.readStream.schema(streaming.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = sorted(((r.user_id or -1), r.n_events, r.n_purchases) for r in streaming.drained(streaming.running_totals(stream)).collect())
-    assert got == [(-1, 1, 0), (1, 4, 1), (1, 5, 2), (1, 6, 2), (2, 2, 1)]
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    daily = streaming.drained(streaming.daily_totals(stream, "1 hour"), "update")
+    assert sorted(((r.user_id or -1), r.n_events, r.n_purchases) for r in daily.collect()) == [(-1, 1, 0), (1, 4, 1), (1, 5, 2), (1, 6, 2), (2, 2, 1)]
+    got = sorted(((r.user_id or -1), r.n_events, r.n_purchases) for r in streaming.running_totals(daily).collect())
+    assert got == [(-1, 1, 0), (1, 6, 2), (2, 2, 1)]
 
 
 @pytest.mark.parametrize("kind", ["parquet", "orc", "json", "csv"])
@@ -143,3 +146,95 @@ def test_plans_push_down(spark, sf_dir):
     assert "PushedFilters: [IsNotNull(l_shipdate), LessThanOrEqual(l_shipdate" in plan and "l_comment" not in plan and "l_orderkey" not in plan
     plan = plans.clicks_before_purchase(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_quantiles_with_outliers(spark, monkeypatch):
+    """One far value: no bucket of the stored values holds much more than its share, and results stay exact."""
+    from millrace import storage
+
+    stored = {}
+    kept = storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, name: stored.setdefault(name, kept(df, name)))
+    df = spark.range(40_000).select(F.lit("a").alias("k"), (F.col("id") / 40_000.0).alias("v")).unionByName(spark.createDataFrame([("a", 1e9), ("b", 3.0)], "k string, v double"))
+    got = {r.k: (r.lo, r.mid) for r in operators.quantiles(df, "k", "v", {"lo": 0.25, "mid": 0.5}).collect()}
+    assert got["b"] == (3.0, 3.0) and got["a"] == pytest.approx((10_000 / 40_000, 20_000 / 40_000))
+    sizes = [r["count"] for r in stored["values"].groupBy("bucket").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 2 * 40_002 / len(sizes)
+
+
+def in_batches(spark, tmp_path, batches):
+    """A stream of one micro-batch for each list of rows."""
+    import os
+
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate(batches):
+        events(spark, rows).coalesce(1).write.parquet(str(tmp_path / f"w{i}"))
+        next((tmp_path / f"w{i}").glob("part-*")).rename(tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1000 + i, 1000 + i))
+    stream = spark.readStream.schema(streaming.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def test_running_totals_over_days(spark, tmp_path):
+    rows = [[(1, 0, 1, "view", 1.0), (2, 5, 1, "purchase", 2.0)], [(3, 1500, 1, "view", 1.0), (4, 20, 1, "view", 1.0)], [(5, 4000, 1, "purchase", 1.0), (6, 1501, 2, "view", 1.0)], [(7, 6, 1, "view", 1.0), (8, 4100, 2, "view", 1.0)]]
+    daily = streaming.drained(streaming.daily_totals(in_batches(spark, tmp_path, rows), "1 hour"), "update")
+    got = sorted((r.user_id, r.day.day, r.n_events, r.n_purchases) for r in streaming.running_totals(daily).collect())
+    # the row of the first day in the last batch is behind the watermark
+    assert got == [(1, 1, 3, 1), (1, 2, 4, 1), (1, 3, 5, 2), (2, 2, 1, 0), (2, 3, 2, 0)]
+
+
+def test_state_of_days_goes(spark, tmp_path):
+    rows = [[(i, 1440 * i, u, "view", 1.0) for u in range(20)] for i in range(6)]
+    stream = streaming.daily_totals(in_batches(spark, tmp_path, rows), "1 hour")
+    query = stream.writeStream.outputMode("update").format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    state = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(state) <= 60 and state[-1] <= 40
+
+
+def interval(stream, how):
+    a = stream.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("a"), F.col("ts").alias("ta"))
+    b = stream.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("b"), F.col("ts").alias("tb"))
+    return streaming.interval_join(a, b, ["user_id"], "ta", "tb", 600, "10 minutes", how).select("a", "b")
+
+
+def test_interval_join_is_the_band_join(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    rows = [[(100 * i + k, 60 * i + rng.randrange(60), rng.randrange(4), rng.choice(["click", "purchase"]), 1.0) for k in range(40)] for i in range(3)]
+    got = sorted(map(tuple, streaming.drained(interval(in_batches(spark, tmp_path, rows), "inner")).collect()))
+    batch = events(spark, [r for b in rows for r in b])
+    a = batch.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("a"), F.col("ts").alias("ta"))
+    b = batch.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("b"), F.col("ts").alias("tb"))
+    assert got == sorted(map(tuple, operators.band_join(a, b, ["user_id"], "ta", "tb", 600).select("a", "b").collect())) and got
+
+
+def test_interval_join_late_and_outer_rows(spark, tmp_path):
+    rows = [
+        [(1, 0, 1, "purchase", 1.0), (2, 1, 2, "purchase", 1.0), (3, 0, 2, "click", 1.0)],
+        [(4, 300, 1, "purchase", 1.0), (5, 299, 1, "click", 1.0)],
+        [(7, 600, 3, "purchase", 1.0), (8, 599, 9, "click", 1.0)],
+        # 6 is behind the watermark of 289 with which the batch before went: no pair of purchase 1 any more
+        [(6, 0, 1, "click", 1.0), (9, 900, 3, "purchase", 1.0), (10, 900, 9, "click", 1.0)],
+    ]
+    got = sorted(map(tuple, streaming.drained(interval(in_batches(spark, tmp_path, rows), "leftOuter")).collect()), key=str)
+    # purchase 7 has none and is passed by the last watermark, 9 is not yet
+    assert got == [(1, None), (2, 3), (4, 5), (7, None)]
+
+
+def test_folders_end_with_the_application(spark):
+    from millrace import storage
+
+    with storage.temporary(spark):
+        path = storage.scratch(spark, "x")
+        spark.range(3).write.parquet(path)
+        assert spark.read.parquet(path).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    df = storage.stored(spark.range(3), "y")
+    assert df.count() == 3
+    storage.clear(spark)
+    with pytest.raises(Exception):
+        df.sparkSession.read.schema("id long").parquet(storage._MADE[-1])
+    assert storage.stored(spark.range(2), "z").count() == 2
