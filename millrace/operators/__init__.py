@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -92,3 +93,30 @@ def quantiles(df: DataFrame, key: str, value: str, at: dict[str, float]) -> Data
     low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
     each = found.groupBy(key, "name").agg((low + (high - low) * (F.first("pos") - F.min("rank"))).alias("q"))
     return storage.stored(each.groupBy(key).agg(*[F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in at]), "quantiles")
+
+
+def matched_once(df: DataFrame, key: str, time: str, kind: str, row: str, opens: str, closes: str, seconds: int) -> DataFrame:
+    """Pairs of a closing row and the latest opening row of its key that is not later, at most so many seconds before and not taken by an earlier pair.
+
+    Which pairs there are depends on all pairs before, so no join or window tells them: a table function goes once over each key's rows in
+    order (ties by row, opening rows first) and holds the opening rows of the last seconds only. Rows without key or time are in no pair.
+    """
+
+    @F.udtf(returnType="key long, closed long, opened long")
+    class Pairs:
+        def __init__(self):
+            self.open = deque()
+
+        def eval(self, r):
+            if r["kind"] == opens:
+                self.open.append((r["us"], r["row"]))
+                return
+            while self.open and r["us"] - self.open[0][0] > seconds * 1_000_000:
+                self.open.popleft()
+            if self.open:
+                yield r["key"], r["row"], self.open.pop()[1]
+
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    rows = df.filter(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(kind).isin(opens, closes))
+    rows = rows.select(F.col(key).cast("long").alias("key"), micros.alias("us"), F.col(kind).alias("kind"), F.col(row).cast("long").alias("row"), (F.col(kind) == closes).alias("last"))
+    return Pairs(rows.asTable().partitionBy("key").orderBy("us", "last", "row"))

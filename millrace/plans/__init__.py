@@ -145,6 +145,19 @@ def stream_clicks_before_purchase(spark: SparkSession, sf_dir: str) -> DataFrame
     return streaming.drained(joined.select("user_id", "purchase_id", "click_id"))
 
 
+def stream_step_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed sessions with how far each went from view to click to purchase, from keyed state with timers."""
+    steps = streaming.step_sessions(streaming.events(spark, sf_dir), ["view", "click", "purchase"], 4 * 3600, "1 hour")
+    return streaming.drained(steps, conf=streaming.TIMERS)
+
+
+def clicks_taken_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the latest click of the six hours before that no earlier purchase has taken."""
+    events = sources.table(spark, sf_dir, "events")
+    found = operators.matched_once(events, "user_id", "ts", "event_type", "event_id", "click", "purchase", 6 * 3600)
+    return found.select(F.col("key").alias("user_id"), F.col("closed").alias("purchase_id"), F.col("opened").alias("click_id"))
+
+
 def robust_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event's distance from its type's median in median absolute deviations."""
     events = sources.table(spark, sf_dir, "events").select("event_id", "event_type", "value")
@@ -178,6 +191,11 @@ SQL = {
     stream_running_totals: "SELECT user_id, count(*) AS n_events, count(*) FILTER (event_type = 'purchase') AS n_purchases FROM events GROUP BY 1",
     stream_clicks_before_purchase: "WITH p AS (FROM events WHERE event_type = 'purchase'), c AS (FROM events WHERE event_type = 'click'), m AS (SELECT p.user_id, p.event_id AS purchase_id, c.event_id AS click_id, p.ts FROM p LEFT JOIN c ON p.user_id = c.user_id AND c.ts <= p.ts AND c.ts > p.ts - INTERVAL 6 HOURS) "
     "SELECT user_id, purchase_id, click_id FROM m WHERE click_id IS NOT NULL OR ts <= (SELECT least((SELECT max(ts) FROM p), (SELECT max(ts) FROM c)) - INTERVAL 1 HOUR)",
+    stream_step_sessions: "WITH a AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 4 HOURS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a), "
+    "v AS (SELECT user_id, s, min(ts) FILTER (event_type = 'view') AS t0 FROM b GROUP BY ALL), c AS (SELECT b.user_id, b.s, any_value(t0) AS t0, min(ts) FILTER (event_type = 'click' AND ts > t0) AS t1 FROM b JOIN v USING (user_id, s) GROUP BY ALL), "
+    "d AS (SELECT b.user_id, b.s, any_value(t0) AS t0, any_value(t1) AS t1, min(ts) FILTER (event_type = 'purchase' AND ts > t1) AS t2, min(ts) AS first, max(ts) AS last, count(*) AS n FROM b JOIN c USING (user_id, s) GROUP BY ALL) "
+    "SELECT user_id, first::TIMESTAMPTZ AS session_start, n AS n_events, ((t0 IS NOT NULL)::INT + (t1 IS NOT NULL)::INT + (t2 IS NOT NULL)::INT)::INT AS depth FROM d WHERE last + INTERVAL 4 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    clicks_taken_once: None,
     robust_scores: "WITH m AS (SELECT event_type, quantile_cont(value, 0.5) AS m FROM events GROUP BY 1), d AS (SELECT event_id, e.event_type, abs(value - m) AS d FROM events e JOIN m USING (event_type)), s AS (SELECT event_type, quantile_cont(d, 0.5) AS mad FROM d GROUP BY 1) SELECT event_id, round(d / nullif(mad, 0), 6) AS score FROM d JOIN s USING (event_type)",
 }
 
@@ -187,4 +205,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f.__name__: sql for f, sql in SQL.items()}
+    return {f.__name__: sql for f, sql in SQL.items() if sql}

@@ -23,18 +23,27 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run the stream over all available input into Parquet (exactly once), and read that.
+#: The state store that keyed state with timers needs.
+TIMERS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def drained(stream: DataFrame, mode: str = "append", conf: dict[str, str] | None = None) -> DataFrame:
+    """Run the stream over all available input into Parquet (exactly once), and read that. conf holds for this query.
 
     In update mode each micro-batch is a folder of its own (column batch), written anew if the batch is run again.
     """
     spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
     out = storage.scratch(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").start(f"{out}/rows")
     else:
         query = writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/rows/batch={batch}")).start()
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(f"{out}/rows")
@@ -81,3 +90,58 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_time:
     same = [F.col(k) == F.col(f"__{k}") for k in keys]
     near = [F.col(right_time) <= F.col(left_time), F.col(right_time) > F.col(left_time) - F.expr(f"INTERVAL {seconds} SECONDS")]
     return a.join(b, reduce(and_, [*same, *near]), how).drop(*[f"__{k}" for k in keys])
+
+
+def step_sessions(stream: DataFrame, steps: list[str], idle: int, late: str) -> DataFrame:
+    """Closed sessions by user, with how many of the steps were taken in order, each by its earliest event after the one before.
+
+    Events wait in keyed state until an event-time timer tells that the watermark is idle seconds past the last one of their
+    session; then its row comes out and its events go, so idle users have no state. What comes late but before the watermark is put in order.
+    A user's events of one open session are held together. The query has to be started with TIMERS.
+    """
+    from pyspark.sql import Row
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    gap = idle * 1_000_000
+
+    class Sessions(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.open = handle.getListState("events", "us long, kind string")
+
+        def wait(self, rows):
+            """Keep rows, and a timer for the end of their first session."""
+            self.open.put(rows)
+            ends = [a[0] for a, b in zip(rows, [*rows[1:], None]) if b is None or b[0] - a[0] >= gap]
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((ends[0] + gap + 999) // 1000)
+
+        def handleInputRows(self, key, rows, timerValues):
+            held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+            new = [(r.us, r.event_type) for r in rows]
+            self.wait(sorted(held + new, key=lambda x: x[0]))
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            rows, passed = [tuple(x) for x in self.open.get()], timerValues.getCurrentWatermarkInMs() * 1000
+            begin = 0
+            for i, (us, _) in enumerate(rows):
+                if (i + 1 == len(rows) or rows[i + 1][0] - us >= gap) and us + gap <= passed:
+                    depth, last = 0, None
+                    for at, kind in rows[begin : i + 1]:
+                        if depth < len(steps) and kind == steps[depth] and (last is None or at > last):
+                            depth, last = depth + 1, at
+                    yield Row(user_id=key[0], start_us=rows[begin][0], n_events=i + 1 - begin, depth=depth)
+                    begin = i + 1
+            if begin < len(rows):
+                self.wait(rows[begin:])
+            else:
+                self.open.clear()
+
+        def close(self):
+            pass
+
+    rows = stream.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("us"), "event_type")
+    found = rows.groupBy("user_id").transformWithState(Sessions(), "user_id long, start_us long, n_events long, depth int", "Append", "EventTime")
+    return found.select("user_id", F.timestamp_micros("start_us").alias("session_start"), "n_events", "depth")

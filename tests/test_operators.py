@@ -238,3 +238,54 @@ def test_folders_end_with_the_application(spark):
     with pytest.raises(Exception):
         df.sparkSession.read.schema("id long").parquet(storage._MADE[-1])
     assert storage.stored(spark.range(2), "z").count() == 2
+
+
+def test_step_sessions_over_batches(spark, tmp_path):
+    rows = [
+        [(1, 0, 1, "view", 1.0), (2, 9, 1, "purchase", 1.0), (3, 3, 2, "click", 1.0), (4, 200, 2, "view", 1.0)],
+        # late, but before the watermark: the click of user 1 comes between
+        [(5, 5, 1, "click", 1.0), (6, 201, 2, "click", 1.0)],
+        [(7, 1000, 3, "view", 1.0)],
+        [(8, 1001, 3, "click", 1.0)],
+        # 9 is behind the watermark with which the batch before went
+        [(9, 2, 1, "view", 1.0), (10, 5000, 4, "view", 1.0)],
+    ]
+    stream = streaming.step_sessions(in_batches(spark, tmp_path, rows), ["view", "click", "purchase"], 3600, "4 hours")
+    got = sorted((r.user_id, r.session_start.minute + 60 * r.session_start.hour, r.n_events, r.depth) for r in streaming.drained(stream, conf=streaming.TIMERS).collect())
+    assert got == [(1, 0, 3, 3), (2, 3, 1, 0), (2, 200, 2, 2), (3, 1000, 2, 2)]
+
+
+def test_state_of_idle_users_goes(spark, tmp_path):
+    rows = [[(100 * i + u, 1440 * i, 50 * i + u, "view", 1.0) for u in range(30)] for i in range(5)]
+    stream = streaming.step_sessions(in_batches(spark, tmp_path, rows), ["view"], 3600, "1 hour")
+    for k, v in streaming.TIMERS.items():
+        spark.conf.set(k, v)
+    query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    for k in streaming.TIMERS:
+        spark.conf.unset(k)
+    state = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    # 30 users in each batch, 150 in all
+    assert state and state[-1] < 75 <= 150
+
+
+def test_clicks_are_taken_once(spark, sf_dir):
+    def brute(rows, seconds):
+        out, taken = set(), set()
+        rows = [r for r in rows if r[1] is not None and r[2] is not None]
+        for row, ts, user, kind in sorted(rows, key=lambda r: (r[2], r[1], r[3] == "purchase", r[0])):
+            if kind == "purchase":
+                free = [c for c in rows if c[3] == "click" and c[2] == user and c[1] <= ts and (ts - c[1]).total_seconds() <= seconds and c[0] not in taken]
+                if free:
+                    best = max(free, key=lambda c: (c[1], c[0]))
+                    taken.add(best[0])
+                    out.add((user, row, best[0]))
+        return out
+
+    rows = [(1, T(0), 1, "click"), (2, T(1), 1, "click"), (3, T(1), 1, "purchase"), (4, T(2), 1, "purchase"), (5, T(3), 1, "purchase"), (6, T(0), None, "click"), (7, T(1), None, "purchase"), (8, None, 1, "click"), (9, T(500), 1, "purchase"), (10, T(140), 1, "click")]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    got = {tuple(r) for r in operators.matched_once(df, "user_id", "ts", "event_type", "event_id", "click", "purchase", 6 * 3600).collect()}
+    assert got == brute(rows, 6 * 3600) == {(1, 3, 2), (1, 4, 1), (1, 9, 10)}
+    assert operators.matched_once(df.limit(0), "user_id", "ts", "event_type", "event_id", "click", "purchase", 60).count() == 0
+    table = [(r.event_id, r.ts, r.user_id, r.event_type) for r in sources.table(spark, sf_dir, "events").collect()]
+    assert {tuple(r) for r in plans.clicks_taken_once(spark, sf_dir).collect()} == brute(table, 6 * 3600)
