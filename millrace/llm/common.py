@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -15,28 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import storage
+
 #: Rows are handled in slices of about so many bytes of text, whatever Spark's batch size.
 SLICE_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir or the context's checkpoint folder.
-
-    Where neither is set, a local session takes a new temporary folder; a cluster has to name one.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            path = current.get()
-        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-            path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-            spark.sparkContext.setCheckpointDir(path)
-        else:
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    return path.rstrip("/")
-
-
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once for each Spark context, wherever they run."""
     context = spark.sparkContext
@@ -54,28 +36,10 @@ def ship(spark: SparkSession) -> None:
 _SHIPPED: set[str] = set()
 
 
-#: Folders made by scratch() in this process.
-_MADE: list[str] = []
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder. What makes one is about to run a job, so the executors get the package."""
+    """A new folder name in the application's shared folder. What makes one is about to run a job, so the executors get the package."""
     ship(spark)
-    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
-
-
-@contextmanager
-def temporary(spark: SparkSession) -> Iterator[None]:
-    """Remove what is written to scratch folders inside; nothing made of it may be read later."""
-    before = len(_MADE)
-    try:
-        yield
-    finally:
-        for path in _MADE[before:]:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        del _MADE[before:]
+    return storage.scratch(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -85,6 +49,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Remove what is written to scratch folders inside; nothing made of it may be read later.
+temporary = storage.temporary
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -256,12 +256,13 @@ def perplexities(docs: DataFrame) -> DataFrame:
     logs = probabilities(common.stored(asked_for(docs), "asked"), model)
     # bucketed by slice, so that texts stay where they are when the answers come
     name = f"slices_{uuid.uuid4().hex}"
-    asked(docs, bits).write.bucketBy(common.partitions(spark), "slice").option("path", common.scratch(spark, name)).saveAsTable(name)
-    rows = spark.table(name)
-    answers = answered(rows.filter("part >= 0").unionByName(by_part(logs, bits)))
-    found = common.stored(summed(rows.filter("part < 0").select("slice", "data"), answers, bits), "perplexities")
-    spark.sql(f"DROP TABLE {name}")
-    return found
+    try:
+        asked(docs, bits).write.bucketBy(common.partitions(spark), "slice").option("path", common.scratch(spark, name)).saveAsTable(name)
+        rows = spark.table(name)
+        answers = answered(rows.filter("part >= 0").unionByName(by_part(logs, bits)))
+        return common.stored(summed(rows.filter("part < 0").select("slice", "data"), answers, bits), "perplexities")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def few(df: DataFrame) -> DataFrame:
