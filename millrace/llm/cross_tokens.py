@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from millrace.llm import common, sentencepiece_bpe, token_files
 
 SLICE_BYTES = 1 << 20
+#: Pre-tokens and words whose ids a worker keeps, of either tokenizer; it holds both.
+KEPT = 100_000
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 STORED = (
     "slice long, doc_ids array<long>, stats binary, groups array<string>, fast binary, "
@@ -74,6 +76,9 @@ class Aligner:
         """A's ids and B's ids of all texts, one after the other, and how many each text has."""
         kind = f"<u{self.a.width}"
         all_a, all_b = [], []
+        for known in (self.a.pieces, self.b.known):
+            if len(known) > KEPT:
+                known.clear()
         for text, b in zip(texts, self.b.encode([t or "" for t in texts])):
             a = np.frombuffer(self.a(" " + text), kind) if text else np.zeros(0, kind)
             if text:
@@ -108,14 +113,14 @@ class Aligner:
         totals = np.bincount(of, minlength=len(pairs))
 
         # ids in the order of the list: a group's A tokens, then its B tokens
-        names = np.empty(len(a) + len(b), np.int64)
+        names = np.empty(len(a) + len(b), np.int32)
         mine, theirs = np.arange(len(a)) + np.repeat(last_b - n, m), np.arange(len(b)) + np.repeat(last_a, n)
         names[mine], names[theirs] = a, b + 2 * len(self.a_bytes)
         names[mine[both]] += len(self.a_bytes)
         names[theirs[last_b - 1]] += len(self.b_bytes)
         cut = np.cumsum(np.concatenate([[0], n_a + n_b])).tolist()
-        name, listed = self.names.__getitem__, names.tolist()
-        groups = [hashlib.sha256(b"".join(map(name, listed[x:y]))[:-1]).hexdigest() if y > x else "" for x, y in zip(cut, cut[1:])]
+        name = self.names.__getitem__
+        groups = [hashlib.sha256(b"".join(map(name, names[x:y].tolist()))[:-1]).hexdigest() if y > x else "" for x, y in zip(cut, cut[1:])]
         return {"stats": np.stack([n_a, n_b, n_groups, n_a + n_b - n_groups], 1), "groups": groups, "fast": fast, "odd": odd, "pairs": pairs, "totals": totals}
 
     @staticmethod
