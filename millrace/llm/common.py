@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -62,6 +63,14 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def release() -> None:
+    """Give unused memory back: a worker lives on after its task, with what its allocators hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no slice holds much more than `most` bytes of the column (or one row)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -70,8 +79,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     for a, b in zip(edges, edges[1:]):
         if b > a:
             yield batch.slice(a, b - a)
-    # a worker lives on after its task, with what the pool holds back
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, by: str = "text", most: int = SLICE_BYTES) -> DataFrame:
@@ -173,6 +181,8 @@ def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    release()
 
 
 def packed(column: pa.ChunkedArray | pa.Array, kind: str = "<u8") -> tuple[np.ndarray, np.ndarray]:
