@@ -18,8 +18,9 @@ n - ceil(2 t / (1 + t) n) + 1 (its index prefix). The order is by how many texts
    has of their differences from the pivot, which bounds from below how many of these differences a link must share. A prefix of
    them, rarest first, names the regions of the next round: one kind for members that do not link to the pivot, one for those with the
    members that do. Members that both link to the pivot need no such region.
-5. These regions are joined in the same way, each around a pivot of its own, or if they have LEAF members at most, member by
-   member. A pivot is never in the regions that come out of its cell, and all of their members come after it in the order by which
+5. These regions are joined in the same way, each around a pivot of its own, or if they have LEAF members at most, member by member:
+   those of up to PAIRED members as pairs, larger ones in a group that takes each member's set once, counts what
+   all members share and sends on only links that connect them as all would. A pivot is never in the regions that come out of its cell, and all of their members come after it in the order by which
    pivots are taken, so this ends, and any two texts that link meet in a cell where one is the pivot, or in a leaf, or both link to a pivot.
 
 Near copies of one text cost one distance each. Links are put together to components over stored tables; only
@@ -49,6 +50,12 @@ NUMERATOR, DENOMINATOR = 80, 100
 RINGS = 2
 #: Regions of the second round and later are not split further if they have so many members.
 LEAF = 256
+#: Regions of so many members at most are compared as rows of pairs, fewer than PAIRED / 2 for each member.
+PAIRED = 8
+#: Members of regions (24 bytes each) up to which the sets are looked up by a broadcast.
+BROADCAST_ROWS = 1_000_000
+#: Shingles whose holders among a region's members are multiplied out at once.
+COLUMNS = 4096
 #: Low bits of a hash that give way to a text's number in its slice; the last number stands for several texts.
 TEXT_BITS = 13
 SEVERAL = (1 << TEXT_BITS) - 1
@@ -244,6 +251,55 @@ def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.mapInArrow(work, "x binary, score long, p binary, leaf boolean, linked boolean, open array<long>, mixed array<long>")
 
 
+def shared_counts(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many values each two of the sets share; sets lie one after the other, sizes tells how long each is."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(values, kind="stable")
+    begin = common.heads(values[order])
+    count = np.diff(np.append(begin, len(values)))
+    column = np.repeat(np.cumsum(count > 1) - 1, count)
+    held = np.repeat(count > 1, count)
+    of, column = of[order][held], column[held]
+    both = np.zeros((len(sizes), len(sizes)), np.float32)
+    edges = np.searchsorted(column, np.arange(0, int((count > 1).sum()) + COLUMNS, COLUMNS))
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+        has = np.zeros((len(sizes), COLUMNS), np.float32)
+        has[of[a:b], column[a:b] - k * COLUMNS] = 1
+        both += has @ has.T
+    return both.astype(np.int64)
+
+
+def inside(leaves: DataFrame, num: int, den: int) -> DataFrame:
+    """x, p and linked: links between the members of each region (region, x, n, shared) that connect them as all their links would.
+
+    A region's sets are held together, at most LEAF of them; no pair but such a link is a row.
+    """
+
+    def work(batches):
+        for table in common.runs(batches, "region"):
+            x = table.column("x").to_pylist()
+            n = table.column("n").to_numpy()
+            shared = table.column("shared").combine_chunks()
+            both = shared_counts(shared.flatten().to_numpy(), shared.value_lengths().to_numpy())
+            linked = den * both >= num * (n[:, None] + n[None, :] - both)
+            free = np.ones(len(x), bool)
+            found = []
+            for root in range(len(x)):
+                reached = [root] if free[root] else []
+                free[root] = False
+                while reached:
+                    i = reached.pop()
+                    new = np.flatnonzero(linked[i] & free)
+                    free[new] = False
+                    reached += new.tolist()
+                    found += [(x[i], x[j]) for j in new.tolist()]
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([True] * len(a))], names=["x", "p", "linked"])
+
+    return leaves.repartition("region").sortWithinPartitions("region", "x").mapInArrow(work, "x binary, p binary, linked boolean")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and label (the least node reachable) for all nodes of the edges but the labels themselves.
 
@@ -275,16 +331,23 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     # side: what makes a region worth a look; it needs a member with it, and a mixed one also a member without it
     members = first.select("region", F.col("key").alias("x"), "score", (F.col("place") < F.col("index")).alias("side"), F.lit(False).alias("mixed"))
     found = common.scratch(spark, "distances")
+    folders = [f"{found}/turn=*"]
     turn = 0
     while True:
         regions = members.groupBy("region").agg(F.max(F.struct("score", "x")).alias("p"), F.max("side").alias("some"), F.min("side").alias("all"), F.max("mixed").alias("mixed"), F.count(F.lit(1)).alias("m"), F.min("x").alias("least"), F.max("x").alias("most"))
         regions = regions.filter("some and least <> most and not (mixed and all)").select("region", F.col("p.x").alias("p"), "m")
         pairs = members.join(regions.filter(F.col("m") > (LEAF if turn else 0)), "region").filter("x <> p").groupBy("x", "p").agg(F.first("score").alias("score"), F.lit(False).alias("leaf"))
         if turn:
-            leaves = members.join(regions.filter(F.col("m") <= LEAF).select("region"), "region")
-            other = leaves.select("region", F.col("x").alias("p"), F.col("side").alias("other"))
-            met = leaves.join(other, "region").filter("x < p and not (mixed and side = other)").select("x", "p", "score")
+            few = members.join(regions.filter(F.col("m") <= PAIRED).select("region"), "region")
+            other = few.select("region", F.col("x").alias("p"), F.col("side").alias("other"))
+            met = few.join(other, "region").filter("x < p and not (mixed and side = other)").select("x", "p", "score")
             pairs = pairs.unionByName(met.groupBy("x", "p").agg(F.first("score").alias("score"), F.lit(True).alias("leaf")))
+            leaves = common.stored(members.join(regions.filter(F.col("m").between(PAIRED + 1, LEAF)).select("region"), "region").select("region", "x").distinct(), "leaves")
+            n = leaves.count()
+            if n:
+                held = sets.select(F.col("key").alias("x"), "n", "shared").join(F.broadcast(leaves) if n <= BROADCAST_ROWS else leaves, "x")
+                folders.append(common.scratch(spark, "inside"))
+                inside(held, num, den).write.parquet(folders[-1])
         seen = Observation()
         here = compared(pairs, sets, num, den).observe(seen, F.count(F.when(~F.col("linked") & ~F.col("leaf"), 1)).alias("n"))
         here.write.parquet(f"{found}/turn={turn}")
@@ -295,7 +358,7 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
         members = cells.select(F.explode("open").alias("region"), "x", "score", "side", F.lit(False).alias("mixed"))
         members = members.unionByName(cells.select(F.explode("mixed").alias("region"), "x", "score", "side", F.lit(True).alias("mixed")))
         turn += 1
-    return spark.read.schema("x binary, p binary, linked boolean").parquet(f"{found}/turn=*").filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
+    return spark.read.schema("x binary, p binary, linked boolean").parquet(*folders).filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:

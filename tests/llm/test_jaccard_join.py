@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from millrace.llm import jaccard_join as J
@@ -156,3 +157,32 @@ def test_rows_of_slices_are_spread(spark):
     slices = {r.slice for r in keys}
     assert len(slices) >= 30
     assert len({r.part for r in keys}) == len(keys) == 2 * len(slices)
+
+
+def test_no_pair_of_a_small_region_is_a_row(spark, tmp_path):
+    """Members of a leaf meet in their group: no join makes pairs of them, and only links that connect them come out."""
+    rng = random.Random(4)
+    base = words(rng, 100)
+    sets = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(i % 6):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(10**9)}"
+        sets.append(sorted({hash(tuple(w[a : a + 5])) for a in range(96)}))
+    rows = [(i % 2, b"%03d" % i, len(s), s) for i, s in enumerate(sets)]
+    leaves = spark.createDataFrame(rows, "region long, x binary, n long, shared array<long>")
+    found = J.inside(leaves, 80, 100)
+    got = [(bytes(r.x), bytes(r.p)) for r in found.collect()]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+    def roots(edges):
+        of = {r[1]: r[1] for r in rows}
+        for a, b in edges:
+            old, new = max(of[a], of[b]), min(of[a], of[b])
+            of = {k: new if v == old else v for k, v in of.items()}
+        return of
+
+    wanted = [(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and 100 * len(set(a[3]) & set(b[3])) >= 80 * len(set(a[3]) | set(b[3]))]
+    assert len(wanted) > 200 and set(got) <= set(wanted) | {(b, a) for a, b in wanted}
+    assert roots(got) == roots(wanted) and len(got) < 90
+    assert J.shared_counts(np.array([1, 2, 3, 2, 3, 9, 3]), np.array([3, 3, 1, 0])).tolist() == [[2, 2, 1, 0], [2, 2, 1, 0], [1, 1, 1, 0], [0, 0, 0, 0]]
