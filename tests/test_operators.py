@@ -255,6 +255,23 @@ def test_step_sessions_over_batches(spark, tmp_path):
     assert got == [(1, 0, 3, 3), (2, 3, 1, 0), (2, 200, 2, 2), (3, 1000, 2, 2)]
 
 
+def test_step_sessions_at_their_edges(spark, tmp_path):
+    """Gaps of just the idle time part sessions, steps of one time do not follow each other, a row without a time is left out; no event goes through Python."""
+    at = lambda seconds: T(0) + dt.timedelta(seconds=seconds)
+    rows = [
+        (1, at(0), 1, "a"), (2, at(3600), 1, "b"), (3, at(7199.999999), 1, "a"), (4, at(7199.999999), 1, "b"), (5, at(7200.5), 1, "b"),
+        (6, at(50), None, "b"), (7, at(40), None, "a"), (8, at(60), None, None), (9, at(61), None, "a"), (10, at(62), None, "a"), (11, at(63), None, "c"),
+        (12, None, 2, "a"), (13, at(99), 2, "x"), (14, at(10**6), 9, "a"),
+    ]
+    spark.createDataFrame([(*r, 1.0, "{}") for r in rows], streaming.EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(streaming.EVENTS).parquet(str(tmp_path / "in")).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = streaming.step_sessions(stream, ["a", "b", "a", "a"], 3600, "1 hour")
+    assert "Python" not in found._jdf.queryExecution().toString() and "Pandas" not in found._jdf.queryExecution().toString()
+    got = {(r.user_id, r.us, r.n_events, r.depth) for r in streaming.drained(found, conf=streaming.TIMERS).select("*", F.unix_micros("session_start").alias("us")).collect()}
+    first = 1_704_067_200_000_000
+    assert got == {(1, first, 1, 1), (1, first + 3_600_000_000, 4, 2), (None, first + 40_000_000, 6, 4), (2, first + 99_000_000, 1, 0)}
+
+
 def test_state_of_idle_users_goes(spark, tmp_path):
     rows = [[(100 * i + u, 1440 * i, 50 * i + u, "view", 1.0) for u in range(30)] for i in range(5)]
     stream = streaming.step_sessions(in_batches(spark, tmp_path, rows), ["view"], 3600, "1 hour")
