@@ -28,6 +28,7 @@ import re
 import zlib
 from array import array
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,14 @@ class Pieces(dict):
         return found
 
 
+def trim(known: dict, most: int) -> None:
+    """Of more than most entries, leave the half that came first: what is common comes early, so hardly any of it is made again."""
+    if len(known) > most:
+        first = list(islice(known.items(), most // 2))
+        known.clear()
+        known.update(first)
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library; distinct pre-tokens go to its BPE model once.
 
@@ -106,8 +115,7 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if len(self.pieces) > KEPT_PIECES:
-            self.pieces.clear()
+        trim(self.pieces, KEPT_PIECES)
         if any(s in text for s in self.special):
             return self.whole(text)
         if PLAIN.fullmatch(text):

@@ -71,6 +71,20 @@ def test_byte_bpe_any_text(text):
     assert enc(text) == enc.whole(text)
 
 
+def test_common_pre_tokens_are_made_once(monkeypatch):
+    """A full table leaves what came first, so common words do not go to the library again; ids stay the library's."""
+    monkeypatch.setattr(token_files, "KEPT_PIECES", 40)
+    enc = token_files.Encoder(BPE)
+    asked, ask = [], enc.pieces.tokenize
+    enc.pieces.tokenize = lambda part: asked.append(part) or ask(part)
+    for i in range(60):
+        text = f"the cat and the dog w{'abcdefghij'[i % 10]}x{'klmnop'[i // 10]} and the end{'qrstuv'[i // 10]}{'abcdefghij'[i % 10]}"
+        assert enc(text) == enc.whole(text)
+        assert len(enc.pieces) <= 40 + 12
+    letter = token_files.byte_letters()[32]
+    assert asked.count(f"{letter}and") == asked.count(f"{letter}cat") == 1
+
+
 def test_token_files(spark, sf_dir, tmp_path):
     enc = token_files.Encoder(BPE)
     rows = ROWS + [(100 + i, t) for i, t in enumerate(texts(spark, sf_dir))]
