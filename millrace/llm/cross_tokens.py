@@ -34,6 +34,8 @@ from millrace.llm import common, sentencepiece_bpe, token_files
 SLICE_BYTES = 1 << 20
 #: Pre-tokens and words whose ids a worker keeps, of either tokenizer; it holds both.
 KEPT = 100_000
+#: Tokens whose bytes are compared at once.
+AT_ONCE = 1 << 16
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 STORED = (
     "slice long, doc_ids array<long>, stats binary, groups array<string>, fast binary, "
@@ -69,27 +71,43 @@ class Aligner:
                 same[data] = i
         self.identity = np.array([same.get(data, -1) for data in self.a_bytes], np.int64)
         self.a_size, self.b_size = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, self.b_bytes))
+        #: The bytes of all tokens one after the other, where each token's begin and how many there are.
+        self.a_pool, self.b_pool = ((np.frombuffer(b"".join(x), np.uint8), np.cumsum(n) - n, n) for x, n in ((self.a_bytes, self.a_size), (self.b_bytes, self.b_size)))
         #: An id with what follows it in the list of groups: "," or, at the end of a group's side, "|" or ";".
         self.names = [b"%d%s" % (i, end) for end, n in ((b",", len(names)), (b"|", len(names)), (b",", len(self.b_bytes)), (b";", len(self.b_bytes))) for i in range(n)]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A's ids and B's ids of all texts, one after the other, and how many each text has."""
         kind = f"<u{self.a.width}"
-        all_a, all_b = [], []
         for known in (self.a.pieces, self.b.known):
-            if len(known) > KEPT:
-                known.clear()
-        for text, b in zip(texts, self.b.encode([t or "" for t in texts])):
-            a = np.frombuffer(self.a(" " + text), kind) if text else np.zeros(0, kind)
-            if text:
-                data = b" " + text.encode()
-                if b"".join(map(self.b_bytes.__getitem__, b.tolist())) != data or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != data:
-                    a, b = a[:0], b[:0]
-            all_a.append(a)
-            all_b.append(b)
+            token_files.trim(known, KEPT)
+        data = [b" " + t.encode() if t else b"" for t in texts]
+        all_a = [np.frombuffer(self.a(" " + t), kind) if t else np.zeros(0, kind) for t in texts]
+        all_b = self.b.encode([t or "" for t in texts])
+        if not self.spelt(all_a, self.a_pool, data) or not self.spelt(all_b, self.b_pool, data):
+            # some text of the slice is to have no tokens, so each is looked at
+            for i, own in enumerate(data):
+                if b"".join(map(self.b_bytes.__getitem__, all_b[i].tolist())) != own or b"".join(map(self.a_bytes.__getitem__, all_a[i].tolist())) != own:
+                    all_a[i], all_b[i] = all_a[i][:0], all_b[i][:0]
         flat = [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (all_a, all_b)]
         return *flat, np.array([*map(len, all_a)], np.int64), np.array([*map(len, all_b)], np.int64)
 
+    @staticmethod
+    def spelt(ids: list[np.ndarray], pool: tuple[np.ndarray, np.ndarray, np.ndarray], data: list[bytes]) -> bool:
+        """Whether the bytes of the ids of all texts are those of data, text by text."""
+        values, begin, size = pool
+        flat, whole = np.concatenate([np.zeros(0, np.uint8), *ids]), np.frombuffer(b"".join(data), np.uint8)
+        ends = np.cumsum(np.append(0, size[flat]))
+        if ends[np.cumsum([*map(len, ids)], dtype=np.int64)].tolist() != np.cumsum([*map(len, data)]).tolist():
+            return False
+        for i in range(0, len(flat), AT_ONCE):
+            some, first = flat[i : i + AT_ONCE], ends[i]
+            sizes, last = size[some], ends[i + len(some)]
+            at = np.repeat(begin[some] - ends[i : i + len(some)], sizes) + np.arange(first, last)
+            if not np.array_equal(values[at], whole[first:last]):
+                return False
+        return True
+
     def align(self, texts: list[str | None]) -> dict:
         """The groups and links of a slice of texts: counts, digests, and the entries of exact and irregular links."""
         a, b, n_a, n_b = self.encode(texts)

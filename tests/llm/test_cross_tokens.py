@@ -103,6 +103,22 @@ def test_identity_map_keeps_bytes():
     assert all(al.a_bytes[i] == al.b_bytes[j] for i, j in enumerate(al.identity.tolist()) if j >= 0)
 
 
+def test_bytes_are_compared_for_whole_slices(monkeypatch):
+    """A slice without a text that is to have no tokens is compared at once; any other gives what its texts give one by one."""
+    monkeypatch.setattr(cross_tokens, "AT_ONCE", 3)
+    al = cross_tokens.Aligner(A, B)
+    good = [t for t in ODD if "▁" not in (t or "")]
+    alone = [al.encode([t]) for t in ODD]
+    assert [x.tolist() for x in al.encode(ODD)] == [[i for part in alone for i in part[k].tolist()] for k in range(4)]
+    ids, data = [al.encode([t])[0] for t in good], [b" " + t.encode() if t else b"" for t in good]
+    assert al.spelt(ids, al.a_pool, data)
+    assert not al.spelt(ids, al.a_pool, [*data[:2], b"x" + data[2][1:], *data[3:]])
+    # the same bytes in all, but parted elsewhere
+    assert not al.spelt(ids, al.a_pool, [*data[:2], data[2] + data[3][:1], data[3][1:], *data[4:]])
+    monkeypatch.setattr(al, "a_bytes", None)
+    assert al.encode(good)[2].sum() > 0
+
+
 def test_query_over_the_whole_table(spark, libraries):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
     assert got(queries.op11_cross_tokens(spark, SF_DIR)) == brute(rows, libraries)
