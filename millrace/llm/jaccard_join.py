@@ -7,10 +7,12 @@ n - ceil(2 t / (1 + t) n) + 1 (its index prefix). The order is by how many texts
 
 1. Shared shingles. Each slice of texts asks once for each of its distinct shingles; an aggregation by shingle answers
    those that occur again, with their frequency (as a power of two). A text that more than 1 - t of its shingles
-   are its own cannot link to any other and leaves here; of the others only the shared shingles are kept.
+   are its own cannot link to any other and leaves here; of the others only the shared shingles are kept. Of equal texts
+   one asks; a bitmap of those, sized by their count, lets some others ask too, which changes nothing.
 2. Regions. A root region is a prefix shingle of two texts or more, one of them by its index prefix. Its pivot is its most
-   central member: the one whose shingles are the most frequent ones. Regions of one pivot make up its cell, and each
-   text goes into the cells of all pivots that it meets.
+   central member: the one whose shingles are the most frequent ones. A pivot that lies within a ring of a more central one that it
+   meets gives its regions to that one, so that a cluster has one cell and not one for each of its edits. Regions of one
+   pivot make up its cell, and each text goes into the cells of all pivots that it meets.
 3. Distances of a cell's members to its pivot are exact, and pairs within 1 - t are links. Nothing is left to do in
    a cell whose members all link to the pivot.
 4. Triangle windows. In the other cells members are parted in rings around the pivot, RINGS * (1 - t) wide; a member no
@@ -18,6 +20,9 @@ n - ceil(2 t / (1 + t) n) + 1 (its index prefix). The order is by how many texts
    has of their differences from the pivot, which bounds from below how many of these differences a link must share. A prefix of
    them, rarest first, names the regions of the next round: one kind for members that do not link to the pivot, one for those with the
    members that do. Members that both link to the pivot need no such region.
+   A cell whose members would go into far more regions than it takes to compare them block by block is compared so at once: those that do
+   not link to the pivot with each other and with those that do, in groups of two blocks, some LEAF members. Such are clusters of many
+   copies with edits at the same places, where regions have many members too, at any depth.
 5. These regions are joined in the same way, each around a pivot of its own, or if they have LEAF members at most, member by member:
    those of up to PAIRED members as pairs, larger ones in a group that takes each member's set once, counts what
    all members share and sends on only links that connect them as all would. A pivot is never in the regions that come out of its cell, and all of their members come after it in the order by which
@@ -52,6 +57,8 @@ RINGS = 2
 LEAF = 256
 #: Regions of so many members at most are compared as rows of pairs, fewer than PAIRED / 2 for each member.
 PAIRED = 8
+#: A cell is compared by blocks if these have up to so many times the rows that its regions have; those of large regions come again in further rounds.
+DENSE = 8
 #: Members of regions (24 bytes each) up to which the sets are looked up by a broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Shingles whose holders among a region's members are multiplied out at once.
@@ -60,14 +67,22 @@ COLUMNS = 4096
 TEXT_BITS = 13
 SEVERAL = (1 << TEXT_BITS) - 1
 HASH_BITS = 64 - TEXT_BITS
+#: Bits of the largest bitmap of texts.
+MOST_BITS = 30
 #: At least so many parts of the range of hashes, each answered by itself.
 PARTS_BITS = 10
 ROWS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int32()), ("n", pa.int64()), ("key", pa.binary())])
 
 
-def asked(docs: DataFrame, k: int, bits: int) -> DataFrame:
+def firsts(docs: DataFrame) -> np.ndarray:
+    """A bitmap of one row of each text, sized by their count."""
+    rows = common.stored(docs.groupBy("text_hash", F.hash("text").alias("other")).agg(F.min("row").alias("row")).select("row"), "texts")
+    return common.bitmap(rows, "row", min(MOST_BITS, max(16, (16 * rows.count()).bit_length())))
+
+
+def asked(docs: DataFrame, k: int, bits: int, first: np.ndarray | None = None) -> DataFrame:
     """For each slice of texts: its distinct shingles by part of the hash range (part >= 0), each with the number of the text
-    that has it; its rows (odd negative part) and the shingles that several texts have (even negative part)."""
+    that has it; its rows (odd negative part) and the shingles that several texts have (even negative part). If there is a bitmap, only texts of rows in it ask."""
 
     def work(batches):
         from pyspark import TaskContext
@@ -84,15 +99,20 @@ def asked(docs: DataFrame, k: int, bits: int) -> DataFrame:
 
         texts: dict[bytes, int] = {}
         at = [None if t is None else texts.setdefault(t, len(texts)) for t in common.utf8(part.column("text"))]
-        h, first = common.slice_hashes(list(texts), lower=True)
-        s, text, _ = common.slice_shingles(h, first, k)
-        words = np.diff(first)
+        h, begins = common.slice_hashes(list(texts), lower=True)
+        s, text, _ = common.slice_shingles(h, begins, k)
+        words = np.diff(begins)
         few = np.flatnonzero((words > 0) & (words < k))
-        s = np.concatenate([s, *(common.shingle_hashes(h[first[i] : first[i + 1]], int(words[i])) for i in few)])
+        s = np.concatenate([s, *(common.shingle_hashes(h[begins[i] : begins[i + 1]], int(words[i])) for i in few)])
         text = np.concatenate([text, few])
         entries = np.sort(s >> np.uint64(TEXT_BITS) << np.uint64(TEXT_BITS) | text.astype(np.uint64))
         entries = entries[common.heads(entries)]
-        n = np.bincount((entries & np.uint64(SEVERAL)).astype(np.int64), minlength=len(texts))
+        text = (entries & np.uint64(SEVERAL)).astype(np.int64)
+        n = np.bincount(text, minlength=len(texts))
+        if first is not None:
+            asks = np.zeros(len(texts), bool)
+            asks[[i for i, good in zip(at, common.in_bitmap(first, part.column("row").to_numpy().view(np.uint64))) if good and i is not None]] = True
+            entries = entries[asks[text]]
         keys = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) if n[i] else None for t, i in texts.items()]
         begin = common.heads(entries >> np.uint64(TEXT_BITS))
         count = np.diff(np.append(begin, len(entries)))
@@ -111,7 +131,7 @@ def asked(docs: DataFrame, k: int, bits: int) -> DataFrame:
         data = pa.concat_arrays([common.pack(ask, np.append(cut, len(ask))), extra])
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), number)), pa.array(parts), data], names=["slice", "part", "data"])
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(work, "slice long, part int, data binary")
+    return docs.select("doc_id", "text_hash", "text", *["row"][: first is not None]).mapInArrow(work, "slice long, part int, data binary")
 
 
 def answered(asks: DataFrame, bits: int) -> DataFrame:
@@ -197,8 +217,8 @@ def gathered(answers: DataFrame, bits: int, num: int, den: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs of a text and a pivot (x, score, p, leaf) with linked, and the regions that x goes into next from the pivot's cell:
-    open ones for texts that don't link to it, mixed ones for both. Pairs of a leaf have none."""
+    """The pairs of a text and a pivot (x, score, p, leaf) with linked and near (in the pivot's first ring), and the regions that x goes into next
+    from the pivot's cell: open ones for texts that don't link to it, mixed ones for both. Pairs of a leaf have none."""
     left = pairs.join(sets.select(F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("shared").alias("set_x")), "x")
     both = left.join(sets.select(F.col("key").alias("p"), F.col("n").alias("n_p"), F.col("shared").alias("set_p")), "p")
     a, b = den - num, den + num
@@ -208,22 +228,22 @@ def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         seed = np.frombuffer(p[:8], np.uint64)
         return [common.mixed(common.mixed(names + seed) + np.uint64(2 * r + kind + 1)).view(np.int64) for r in rings]
 
-    def one(p: bytes, leaf: bool, n_x: int, x: np.ndarray, n_p: int, y: np.ndarray) -> tuple[bool, np.ndarray, np.ndarray]:
+    def one(p: bytes, leaf: bool, n_x: int, x: np.ndarray, n_p: int, y: np.ndarray) -> tuple[bool, bool, np.ndarray, np.ndarray]:
         at = np.searchsorted(y, x)
         hit = y[np.minimum(at, len(y) - 1)] == x
         both = int(hit.sum())
         union, differ = n_x + n_p - both, n_x + n_p - 2 * both
-        linked = den * both >= num * union
+        linked, close = den * both >= num * union, den * (union - both) < width * union
         none = np.zeros(0, np.int64)
         if leaf:
-            return linked, none, none
+            return linked, close, none, none
         # how many of its differences from the pivot x shares at least with a text that it links to: one that does not link to the pivot, or one that does
         apart = max(1, (b * differ + a * (n_p - n_x)) // (2 * b) + 1)
         joined = max(1, -(-(b * num * differ - a * (num * n_x + den * min(n_x, n_p))) // (b * num)))
         alone = n_x - len(x)
         take = [differ - least + 1 - alone for least in ([apart] if linked else [apart, joined])]
         if max(take) <= 0:
-            return linked, none, none
+            return linked, close, none, none
         # those that few of the cell differ in come first: what is rare or what x alone lacks, then what the pivot lacks, and what it has alone
         more = x[~hit]
         often = more >> np.uint64(HASH_BITS) >= max(1, y[len(y) // 2] >> np.uint64(HASH_BITS)) - 1
@@ -235,7 +255,7 @@ def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         near = den * (union - both) + a * union >= width * (ring + 1) * union
         rings = [ring, ring + 1] if near else [ring]
         first, last = names[: max(0, take[0])], names[: max(0, take[-1])]
-        return linked, np.concatenate([none] if linked else regions(p, 0, rings, first)), np.concatenate(regions(p, 1, rings, last))
+        return linked, close, np.concatenate([none] if linked else regions(p, 0, rings, first)), np.concatenate(regions(p, 1, rings, last))
 
     def work(batches):
         for batch in batches:
@@ -244,11 +264,22 @@ def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             (u, xs), (v, ys) = sets
             for i, (p, leaf, n_x, n_p) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("p", "leaf", "n_x", "n_p")))):
                 found.append(one(p, leaf, n_x, xs[u[i] : u[i + 1]], n_p, ys[v[i] : v[i + 1]]))
-            linked, open_, mixed = zip(*found) if found else ((), (), ())
-            columns = [pa.array(linked, pa.bool_()), pa.array(open_, pa.list_(pa.int64())), pa.array(mixed, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("x", "score", "p", "leaf")), *columns], names=["x", "score", "p", "leaf", "linked", "open", "mixed"])
+            linked, close, open_, mixed = zip(*found) if found else ((), (), (), ())
+            columns = [pa.array(linked, pa.bool_()), pa.array(close, pa.bool_()), pa.array(open_, pa.list_(pa.int64())), pa.array(mixed, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("x", "score", "p", "leaf")), *columns], names=["x", "score", "p", "leaf", "linked", "near", "open", "mixed"])
+
+    return both.mapInArrow(work, "x binary, score long, p binary, leaf boolean, linked boolean, near boolean, open array<long>, mixed array<long>")
 
-    return both.mapInArrow(work, "x binary, score long, p binary, leaf boolean, linked boolean, open array<long>, mixed array<long>")
+
+def fewer(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, score, p) with the most central pivot that p is near to, among those that it meets itself, in p's place."""
+    pairs = common.stored(pairs, "met")
+    pivots = pairs.select("p").distinct()
+    among = pairs.join(pivots.withColumnRenamed("p", "x"), "x", "left_semi").withColumn("leaf", F.lit(True))
+    near = compared(among, sets, num, den).filter("near").select("x", "p")
+    score = sets.select(F.col("key").alias("p"), F.col("score").alias("own"))
+    best = near.join(score, "p").groupBy(F.col("x").alias("p")).agg(F.max(F.struct("own", "p")).alias("best"))
+    return pairs.join(best, "p", "left").select("x", "score", F.coalesce("best.p", "p").alias("p"))
 
 
 def shared_counts(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -300,6 +331,28 @@ def inside(leaves: DataFrame, num: int, den: int) -> DataFrame:
     return leaves.repartition("region").sortWithinPartitions("region", "x").mapInArrow(work, "x binary, p binary, linked boolean")
 
 
+def cell_sizes(cells: DataFrame) -> DataFrame:
+    """p, in how many blocks the members of its cell go that link to it (joined) and that don't (apart), and whether the cell is dense; cells with none apart are left out."""
+    n, half = F.count(F.lit(1)), F.lit(LEAF // 2)
+    sums = cells.groupBy("p").agg(n.alias("n"), F.count_if(~F.col("linked")).alias("far"), F.sum(F.size("open") + F.size("mixed")).alias("wide")).filter("far > 0")
+    sums = sums.withColumns({"joined": F.ceil((F.col("n") - F.col("far")) / half), "apart": F.ceil(F.col("far") / half)})
+    rows = F.when((F.col("joined") == 1) & (F.col("apart") == 1), F.col("n")).otherwise(F.col("n") * F.col("apart") + F.col("far") * F.col("joined"))
+    return sums.select("p", "joined", "apart", (rows <= DENSE * F.col("wide")).alias("dense"))
+
+
+def blocks(cells: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Groups (region, x) in which each member of the cells (x, p, linked) that does not link to the pivot meets all others, by sizes' blocks."""
+    part = F.when(F.col("linked"), F.pmod(F.xxhash64("x"), "joined")).otherwise(F.pmod(F.xxhash64("x"), "apart"))
+    rows = cells.join(sizes.filter("dense").select("p", "joined", "apart"), "p").withColumn("b", part)
+    other = F.sequence(F.lit(0), F.col("apart") - 1)
+    own = F.transform(other, lambda i: F.xxhash64("p", F.lit(0), F.least(i, "b"), F.greatest(i, "b")))
+    mine = F.transform(F.sequence(F.lit(0), F.col("joined") - 1), lambda k: F.xxhash64("p", F.lit(1), "b", k))
+    linked = F.transform(other, lambda i: F.xxhash64("p", F.lit(1), i, "b"))
+    # one group holds a small cell
+    groups = F.when((F.col("joined") == 1) & (F.col("apart") == 1), F.array(F.xxhash64("p"))).when(F.col("linked"), linked).otherwise(F.when(F.col("joined") > 0, F.concat(own, mine)).otherwise(own))
+    return rows.select(F.explode(groups).alias("region"), "x").distinct()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and label (the least node reachable) for all nodes of the edges but the labels themselves.
 
@@ -333,28 +386,41 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     found = common.scratch(spark, "distances")
     folders = [f"{found}/turn=*"]
     turn = 0
+
+    def together(groups: DataFrame) -> None:
+        leaves = common.stored(groups, "leaves")
+        n = leaves.count()
+        if n:
+            held = sets.select(F.col("key").alias("x"), "n", "shared").join(F.broadcast(leaves) if n <= BROADCAST_ROWS else leaves, "x")
+            folders.append(common.scratch(spark, "inside"))
+            inside(held, num, den).write.parquet(folders[-1])
+
     while True:
         regions = members.groupBy("region").agg(F.max(F.struct("score", "x")).alias("p"), F.max("side").alias("some"), F.min("side").alias("all"), F.max("mixed").alias("mixed"), F.count(F.lit(1)).alias("m"), F.min("x").alias("least"), F.max("x").alias("most"))
         regions = regions.filter("some and least <> most and not (mixed and all)").select("region", F.col("p.x").alias("p"), "m")
-        pairs = members.join(regions.filter(F.col("m") > (LEAF if turn else 0)), "region").filter("x <> p").groupBy("x", "p").agg(F.first("score").alias("score"), F.lit(False).alias("leaf"))
+        pairs = members.join(regions.filter(F.col("m") > (LEAF if turn else 0)), "region").filter("x <> p").groupBy("x", "p").agg(F.first("score").alias("score"))
+        if not turn:
+            pairs = fewer(pairs, sets, num, den).groupBy("x", "p").agg(F.first("score").alias("score"))
+        pairs = pairs.withColumn("leaf", F.lit(False))
         if turn:
             few = members.join(regions.filter(F.col("m") <= PAIRED).select("region"), "region")
             other = few.select("region", F.col("x").alias("p"), F.col("side").alias("other"))
             met = few.join(other, "region").filter("x < p and not (mixed and side = other)").select("x", "p", "score")
             pairs = pairs.unionByName(met.groupBy("x", "p").agg(F.first("score").alias("score"), F.lit(True).alias("leaf")))
-            leaves = common.stored(members.join(regions.filter(F.col("m").between(PAIRED + 1, LEAF)).select("region"), "region").select("region", "x").distinct(), "leaves")
-            n = leaves.count()
-            if n:
-                held = sets.select(F.col("key").alias("x"), "n", "shared").join(F.broadcast(leaves) if n <= BROADCAST_ROWS else leaves, "x")
-                folders.append(common.scratch(spark, "inside"))
-                inside(held, num, den).write.parquet(folders[-1])
+            together(members.join(regions.filter(F.col("m").between(PAIRED + 1, LEAF)).select("region"), "region").select("region", "x").distinct())
         seen = Observation()
         here = compared(pairs, sets, num, den).observe(seen, F.count(F.when(~F.col("linked") & ~F.col("leaf"), 1)).alias("n"))
         here.write.parquet(f"{found}/turn={turn}")
         if not seen.get["n"]:
             break
         here = spark.read.parquet(f"{found}/turn={turn}").filter("not leaf")
-        cells = here.join(here.filter("not linked").select("p").distinct(), "p", "left_semi").select("x", "score", (~F.col("linked")).alias("side"), "open", "mixed")
+        sizes = common.stored(cell_sizes(here), "sizes")
+        kinds = {x["dense"] for x in sizes.select("dense").distinct().collect()}
+        if True in kinds:
+            together(blocks(here, sizes))
+        if False not in kinds:
+            break
+        cells = here.join(sizes.filter("not dense").select("p"), "p", "left_semi").select("x", "score", (~F.col("linked")).alias("side"), "open", "mixed")
         members = cells.select(F.explode("open").alias("region"), "x", "score", "side", F.lit(False).alias("mixed"))
         members = members.unionByName(cells.select(F.explode("mixed").alias("region"), "x", "score", "side", F.lit(True).alias("mixed")))
         turn += 1
@@ -365,9 +431,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     """doc_id, n_shingles, component_id, text_hash (xxhash64 of the text) and component (a key that
     tells components apart even if ids repeat; null for the empty set), one row a row of docs."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    docs = docs.withColumns({"text_hash": F.xxhash64("text"), "row": F.xxhash64("doc_id", "text")})
     bits = max(PARTS_BITS, (4 * common.partitions(docs.sparkSession) - 1).bit_length())
-    rows = common.stored(gathered(answered(asked(docs, k, bits), bits), bits, num, den), "shingles")
+    rows = common.stored(gathered(answered(asked(docs, k, bits, firsts(docs)), bits), bits, num, den), "shingles")
     one = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "shared", "prefix", "index", "score")]
     sets = common.stored(rows.filter("shared is not null").groupBy("key").agg(*one), "sets")
     labels = components(links(sets, num, den))

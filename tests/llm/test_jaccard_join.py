@@ -186,3 +186,33 @@ def test_no_pair_of_a_small_region_is_a_row(spark, tmp_path):
     assert len(wanted) > 200 and set(got) <= set(wanted) | {(b, a) for a, b in wanted}
     assert roots(got) == roots(wanted) and len(got) < 90
     assert J.shared_counts(np.array([1, 2, 3, 2, 3, 9, 3]), np.array([3, 3, 1, 0])).tolist() == [[2, 2, 1, 0], [2, 2, 1, 0], [1, 1, 1, 0], [0, 0, 0, 0]]
+
+
+def test_edits_of_one_text_are_one_cell(spark, monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(J, "LEAF", 16)
+    base = words(rng, 150)
+    some = words(rng, 12)
+    texts = [" ".join(rng.choice(some) if rng.random() < rate else w for w in base) for rate in (0.01, 0.02, 0.04) for _ in range(130)]
+    rows = list(enumerate([" ".join(base), *texts]))
+    seen, compared = [], J.compared
+
+    def counted(pairs, *more):
+        seen.append(pairs.count())
+        assert sum(seen) < 4 * len(rows)
+        return compared(pairs, *more)
+
+    monkeypatch.setattr(J, "compared", counted)
+    check(spark, rows)
+
+
+def test_one_of_equal_texts_asks(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(words(rng, 80)) for _ in range(6)]
+    rows = [(20 * i + k, t) for k in range(20) for i, t in enumerate(texts)] + [(None, texts[0]), (500, texts[1].upper())]
+    held, gathered = [], J.gathered
+    monkeypatch.setattr(J, "gathered", lambda *a: held.append(gathered(*a)) or held[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(10)
+    assert sorted((tuple(r)[:3] for r in J.join(df).collect()), key=str) == brute(rows)
+    # only a text that another one equals in all but its capitals still has partners
+    assert held[0].filter("shared is not null").count() <= 3
