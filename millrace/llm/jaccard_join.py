@@ -393,7 +393,8 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
         if n:
             held = sets.select(F.col("key").alias("x"), "n", "shared").join(F.broadcast(leaves) if n <= BROADCAST_ROWS else leaves, "x")
             folders.append(common.scratch(spark, "inside"))
-            inside(held, num, den).write.parquet(folders[-1])
+            with common.swept(spark):
+                inside(held, num, den).write.parquet(folders[-1])
 
     while True:
         regions = members.groupBy("region").agg(F.max(F.struct("score", "x")).alias("p"), F.max("side").alias("some"), F.min("side").alias("all"), F.max("mixed").alias("mixed"), F.count(F.lit(1)).alias("m"), F.min("x").alias("least"), F.max("x").alias("most"))
@@ -410,7 +411,8 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
             together(members.join(regions.filter(F.col("m").between(PAIRED + 1, LEAF)).select("region"), "region").select("region", "x").distinct())
         seen = Observation()
         here = compared(pairs, sets, num, den).observe(seen, F.count(F.when(~F.col("linked") & ~F.col("leaf"), 1)).alias("n"))
-        here.write.parquet(f"{found}/turn={turn}")
+        with common.swept(spark):
+            here.write.parquet(f"{found}/turn={turn}")
         if not seen.get["n"]:
             break
         here = spark.read.parquet(f"{found}/turn={turn}").filter("not leaf")
